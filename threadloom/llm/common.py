@@ -23,9 +23,13 @@ def keyed_text(df: DataFrame, name: str, key: str, text: str) -> DataFrame:
 
 
 def one_per_key(df: DataFrame) -> DataFrame:
-    """One row per (table_name, row_key); rows that repeat a key agree in their text, else the least text counts."""
-    return df.where("row_key is not null").groupBy("table_name", "row_key").agg(F.min("text").alias("text"))
-
-
-def code_points(c: str) -> Column:
-    return F.length(c)
+    """One row per (table_name, row_key); rows that repeat a key agree in their text, else the least text counts.
+
+    Only keys that come more than once are brought together; the other texts
+    stay where they are.
+    """
+    key = ["table_name", "row_key"]
+    df = df.where("row_key is not null")
+    twice = df.groupBy(*key).count().where("count > 1").select(*key)
+    rest = df.join(twice, key, "left_semi").groupBy(*key).agg(F.min("text").alias("text"))
+    return df.join(twice, key, "left_anti").select(*key, "text").unionByName(rest)

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import keyed_text, one_per_key
 from threadloom.llm.leakage import find_leaks
 from threadloom.llm.near_duplicates import duplicate_classes, similar_records
+from threadloom.llm.personal_data import find_personal_data
 from threadloom.llm.shared_spans import shared_pairs, shared_share
 from threadloom.llm.splitting import split_texts
+from threadloom.llm.text_quality import text_statistics, text_tokens
 from threadloom.llm.tokenization import decode_corpus, encode_corpus
-from threadloom.runtime import table
+from threadloom.runtime import spread, table
 
 
 def _comments(spark, d):
@@ -26,6 +28,16 @@ def _chunks(spark, d):
     return one_per_key(keyed_text(table(spark, d, "chunk_metadata"), "chunk_metadata", "chunk_id", "text"))
 
 
+def _delivered(spark, d):
+    """Comment bodies and post texts as delivered, repeated ids and all."""
+    rows = keyed_text(table(spark, d, "comments"), "comments", "id", "body").unionByName(keyed_text(table(spark, d, "posts"), "posts", "id", "selftext"))
+    return spread(rows.where("row_key is not null"))
+
+
+def _personal(spark, d, rows, **kw):
+    return find_personal_data(rows, table(spark, d, "given_names"), table(spark, d, "common_words"), **kw)
+
+
 def _texts(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
 
@@ -38,9 +50,33 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return duplicate_classes(_comments(spark, d).unionByName(_chunks(spark, d)))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    common = table(spark, d, "common_words")
+    bodies = text_statistics(spread(keyed_text(table(spark, d, "comments"), "comments", "id", "body").where("row_key is not null")), common, full=False)
+    junk = bodies.where("not is_prose").select("table_name", "row_key")
+    chunks = table(spark, d, "chunk_metadata").where("chunk_id is not null")
+    counted = text_tokens(spread(chunks.select(F.lit("chunk_metadata").alias("table_name"), F.col("chunk_id").alias("row_key"), "text", "word_count")), carry="word_count")
+    wrong = counted.where("word_count is null or word_count <> n_tokens").select("table_name", "row_key")
+    return junk.distinct().unionByName(wrong.distinct())
+
+
+def p2_statistics(spark: SparkSession, d: str) -> DataFrame:
+    every = _comments(spark, d).unionByName(_chunks(spark, d))
+    return text_statistics(every, table(spark, d, "common_words"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = _personal(spark, d, _delivered(spark, d), with_text=False)
+    return found.select("table_name", "row_key", F.explode(F.array_distinct("found.pii_kind")).alias("pii_kind")).distinct()
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d, _comments(spark, d).unionByName(_posts(spark, d))).select("table_name", "row_key", "redacted", F.size("found").alias("n_found"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    pieces = split_texts(_comments(spark, d).unionByName(_posts(spark, d)), with_text=False, oversized_only=True)
-    return pieces.where("piece_index = 0").select("table_name", "row_key")
+    pieces = split_texts(_delivered(spark, d), with_text=False, oversized_only=True)
+    return pieces.where("piece_index = 0").select("table_name", "row_key").distinct()
 
 
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +114,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_share(_texts(spark, d)).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p5_found, p5_pieces, p7_ids, p7_roundtrip, p8_found, p8_spans, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_statistics, p3_found, p3_redacted, p5_found, p5_pieces, p7_ids, p7_roundtrip, p8_found, p8_spans, p9_found, p9_shared)}
 
 _WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import TOKEN
+from threadloom.llm.common import TOKEN, one_per_key
 
 MAX_TOKENS, MAX_CHARS, OVERLAP = 300, 2400, 30
 #: Shares of the limits: grid step, window before a grid point, most of an overlap; together 1.
@@ -249,7 +249,8 @@ def _stitched(df: DataFrame, max_tokens: int, max_chars: int, overlap: int, rang
 def split_texts(df: DataFrame, *, max_tokens: int = MAX_TOKENS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, range_chars: int = RANGE, with_text: bool = True, oversized_only: bool = False) -> DataFrame:
     """Pieces of every text, each within both limits.
 
-    ``df``: (table_name, row_key, text), one row per key.  Result: one row per
+    ``df``: (table_name, row_key, text); a key that comes twice is split twice,
+    unless its text is longer than a range.  Result: one row per
     piece with its offsets in code points and the whole text's counts.  A text
     within the limits is one piece.  Null, empty and blank texts give no piece
     (with ``oversized_only`` a blank text beyond the limit gives one of length
@@ -259,7 +260,7 @@ def split_texts(df: DataFrame, *, max_tokens: int = MAX_TOKENS, max_chars: int =
     """
     df = df.select("table_name", "row_key", "text")
     short = df.where(f"text is null or length(text) <= {range_chars}").mapInArrow(_inline(max_tokens, max_chars, overlap, with_text, oversized_only), PIECE_SCHEMA)
-    long_ = _stitched(df.where(f"length(text) > {range_chars}"), max_tokens, max_chars, overlap, range_chars, with_text)
+    long_ = _stitched(one_per_key(df.where(f"length(text) > {range_chars}")), max_tokens, max_chars, overlap, range_chars, with_text)
     if oversized_only:
         long_ = long_.where((F.col("n_chars") > max_chars) | (F.col("n_tokens") > max_tokens))
     return short.unionByName(long_)
