@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.runtime import checkpoint
+
 #: Text word: maximal run of letters and digits, lower-cased before the search.
 WORD = re.compile(r"[^\W_]+")
 #: Token: maximal run of characters that are not Unicode white space.
@@ -30,6 +32,6 @@ def one_per_key(df: DataFrame) -> DataFrame:
     """
     key = ["table_name", "row_key"]
     df = df.where("row_key is not null")
-    twice = df.groupBy(*key).count().where("count > 1").select(*key)
+    twice = checkpoint(df.groupBy(*key).count().where("count > 1").select(*key))
     rest = df.join(twice, key, "left_semi").groupBy(*key).agg(F.min("text").alias("text"))
     return df.join(twice, key, "left_anti").select(*key, "text").unionByName(rest)

@@ -239,7 +239,7 @@ def shared_runs(df: DataFrame, *, min_chars: int = MIN_CHARS) -> tuple[DataFrame
     if min_chars < MIN_CHARS:
         raise ValueError(f"spans under {MIN_CHARS} characters need other bounds")
     texts = df.where(f"doc is not null and length(text) >= {min_chars}").select("doc", "text")
-    classes = copy_classes(texts)
+    classes = checkpoint(copy_classes(texts))
     extra = classes.where("doc <> rep").select("doc")
     single = texts.join(extra, "doc", "left_anti")
     marks = spread(single).mapInArrow(_emit, "name long, doc long, pos int")
@@ -252,7 +252,8 @@ def shared_runs(df: DataFrame, *, min_chars: int = MIN_CHARS) -> tuple[DataFrame
     held = single.join(met, "doc", "left_semi")
     ta, tb = held.select(F.col("doc").alias("doc_a"), F.col("text").alias("x")), held.select(F.col("doc").alias("doc_b"), F.col("text").alias("y"))
     full = pairs.join(ta, "doc_a").join(tb, "doc_b").select("doc_a", "doc_b", "shift", "pos", "x", "y")
-    return full.mapInArrow(_verify(min_chars), "doc_a long, doc_b long, from_a long, from_b long, n_chars long").distinct(), classes
+    runs = full.mapInArrow(_verify(min_chars), "doc_a long, doc_b long, from_a long, from_b long, n_chars long").distinct()
+    return checkpoint(runs), classes
 
 
 def shared_pairs(df: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
