@@ -79,3 +79,8 @@ def spread(df: DataFrame, rows_per_task: int = 0) -> DataFrame:
 def empty_like(schema: str) -> pd.DataFrame:
     names = [c.strip().split()[0] for c in schema.split(",")]
     return pd.DataFrame({n: [] for n in names})
+
+
+def small_or_shuffled(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """A checkpointed table with a broadcast hint if it has few rows; a larger one is left to a shuffled join."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
