@@ -34,6 +34,10 @@ def _delivered(spark, d):
     return spread(rows.where("row_key is not null"))
 
 
+def _bodies_and_chunks(spark, d):
+    return keyed_text(table(spark, d, "comments"), "comments", "id", "body").unionByName(keyed_text(table(spark, d, "chunk_metadata"), "chunk_metadata", "chunk_id", "text"))
+
+
 def _personal(spark, d, rows, **kw):
     return find_personal_data(rows, table(spark, d, "given_names"), table(spark, d, "common_words"), **kw)
 
@@ -43,11 +47,11 @@ def _texts(spark, d):
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return similar_records(_comments(spark, d).unionByName(_chunks(spark, d)), n=3, threshold=0.5)
+    return similar_records(_bodies_and_chunks(spark, d), n=3, threshold=0.5)
 
 
 def p1_classes(spark: SparkSession, d: str) -> DataFrame:
-    return duplicate_classes(_comments(spark, d).unionByName(_chunks(spark, d)))
+    return duplicate_classes(_bodies_and_chunks(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

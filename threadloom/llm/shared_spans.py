@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.runtime import checkpoint, spread
+from threadloom.runtime import checkpoint, small_or_shuffled, spread
 
 MIN_CHARS = 300
 #: Longest symbol that is joined in each round; a joined one has at most twice that.
@@ -240,7 +240,7 @@ def shared_runs(df: DataFrame, *, min_chars: int = MIN_CHARS) -> tuple[DataFrame
         raise ValueError(f"spans under {MIN_CHARS} characters need other bounds")
     texts = df.where(f"doc is not null and length(text) >= {min_chars}").select("doc", "text")
     classes = checkpoint(copy_classes(texts))
-    extra = classes.where("doc <> rep").select("doc")
+    extra = small_or_shuffled(classes.where("doc <> rep").select("doc"))
     single = texts.join(extra, "doc", "left_anti")
     marks = spread(single).mapInArrow(_emit, "name long, doc long, pos int")
     # names of one document fall away before any pair is made; one shuffle, and the symbols are made once
@@ -249,6 +249,7 @@ def shared_runs(df: DataFrame, *, min_chars: int = MIN_CHARS) -> tuple[DataFrame
     a, b = both.select("name", F.col("doc").alias("doc_a"), F.col("pos").alias("pos_a")), both.select("name", F.col("doc").alias("doc_b"), F.col("pos").alias("pos_b"))
     pairs = checkpoint(a.join(b, "name").where("doc_a < doc_b").groupBy("doc_a", "doc_b", (F.col("pos_a") - F.col("pos_b")).alias("shift")).agg(F.collect_set("pos_a").alias("pos")))
     met = pairs.select(F.col("doc_a").alias("doc")).unionByName(pairs.select(F.col("doc_b").alias("doc"))).distinct()
+    met = small_or_shuffled(checkpoint(met))
     held = single.join(met, "doc", "left_semi")
     ta, tb = held.select(F.col("doc").alias("doc_a"), F.col("text").alias("x")), held.select(F.col("doc").alias("doc_b"), F.col("text").alias("y"))
     full = pairs.join(ta, "doc_a").join(tb, "doc_b").select("doc_a", "doc_b", "shift", "pos", "x", "y")
