@@ -108,12 +108,12 @@ def a10_depth_histogram(s, d):
     return r.groupBy(C.depth_bucket(found).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def p5_compose(s, d):
+def compose_policies(s, d):
     base = _m(s, d).select("chunk_id", "chunk_type", "post_title", "post_summary", "text", "nest_level").distinct()
     return base.select("chunk_id", *(F.md5(C.compose(p)).alias(p) for p in C.POLICIES))
 
 
-QUERIES = {f.__name__: f for f in (f1_exclusion_reason, f2_post_exclusion, f5_f6_reply_classes, a1_social_signals, a11_signal_parents, a2_gate_metrics, a3_short_buckets, a4_word_quantiles, a5_field_presence, a6_thread_structure, a7_month_counts, w1_gap_flags, j17_coverage, w8_samples, x2_comment_chunks, x3_post_chunks, a9_chunk_stats, j5_parent_sentences, a10_depth_histogram, p5_compose)}
+QUERIES = {f.__name__: f for f in (f1_exclusion_reason, f2_post_exclusion, f5_f6_reply_classes, a1_social_signals, a11_signal_parents, a2_gate_metrics, a3_short_buckets, a4_word_quantiles, a5_field_presence, a6_thread_structure, a7_month_counts, w1_gap_flags, j17_coverage, w8_samples, x2_comment_chunks, x3_post_chunks, a9_chunk_stats, j5_parent_sentences, a10_depth_histogram, compose_policies)}
 
 
 def _strip(x: str) -> str:
@@ -198,5 +198,5 @@ SQL = {
     "a9_chunk_stats": f"with x as ({_COMMENT_CHUNKS}) select count(*) filter (where chunk_index = 0) as n_records, count(*) as n_chunks, count(*) filter (where chunk_index = 0 and total_chunks = 1) as n_single, count(*) filter (where chunk_index = 0 and total_chunks > 1) as n_multi, max(total_chunks) as max_chunks, round(count(*) / count(*) filter (where chunk_index = 0), 3) as avg_chunks from x",
     "j5_parent_sentences": f"with o as (select id, min(parent_id) as parent_id, min(body) as body from comments group by id) select o.id, {_sentence('q.body')} as parent_first_sentence from o join o q on o.parent_id = 't1_' || q.id",
     "a10_depth_histogram": "with recursive c as (select id, min(parent_id) parent_id from comments group by id), walk as (select id, parent_id as root, 1 as depth from c where parent_id like 't3\\_%' escape '\\' union all select c.id, walk.root, walk.depth + 1 from walk join c on c.parent_id = 't1_' || walk.id) select case when depth is null then 'unknown' when depth >= 4 then '4+' else depth::varchar end as bucket, count(*) as n from c left join walk using (id) group by 1",
-    "p5_compose": _compose_sql(),
+    "compose_policies": _compose_sql(),
 }
