@@ -10,8 +10,6 @@ What no round reaches lies on or below a cycle.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,32 +61,28 @@ def resolve_hierarchy(nodes: DataFrame, *, prefix: str = "t1_", levels: int = 3,
         reached = reached.unionByName(part)
     solved = [checkpoint(reached.coalesce(tasks))]
     open_ = checkpoint(below.join(solved[0].select("id"), "id", "left_anti").coalesce(tasks))
-    left = open_.count()
-    rounds = math.ceil(math.log2(left + 1)) + 2 if left else 0
-    for _ in range(rounds):
-        known = solved[0]
-        for part in solved[1:]:
-            known = known.unionByName(part)
-        ends = open_.select(F.col("anc").alias("a"))
-        a = known.join(ends, known.id == ends.a, "left_semi").select(F.col("id").alias("anc"), "root_id", "node_depth", "path", F.lit(None).cast("string").alias("anc2"), F.lit(None).cast("long").alias("dist2"), none.alias("seg2"))
-        b = open_.select(F.col("id").alias("anc"), F.lit(None).cast("string").alias("root_id"), F.lit(None).cast("long").alias("node_depth"), none.alias("path"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), F.col("seg").alias("seg2"))
-        both = checkpoint(open_.join(a.unionByName(b), "anc").coalesce(tasks))
-        hit = both.where("root_id is not null").select("id", "root_id", (F.col("node_depth") + F.col("dist")).alias("node_depth"), F.concat("path", "seg").alias("path"))
-        solved.append(hit)
-        open_ = both.where("root_id is null").select("id", F.col("anc2").alias("anc"), (F.col("dist") + F.col("dist2")).alias("dist"), F.concat("seg2", "seg").alias("seg"))
-        now = open_.count()
-        if not now:
+    out = solved[0].withColumn("node_depth", F.col("node_depth").cast("int"))
+    if not open_.count():
+        return out
+    # the level after the frontier closes the open nodes' chains; nothing above it is needed again
+    last = step(done[-1]).select("id", "root_id", "node_depth", "path")
+    state = checkpoint(open_.join(last, "id", "left").coalesce(tasks))
+    while True:
+        # an open pair spans a power of two; one longer than there are open nodes has met some node twice
+        left, span = state.where("root_id is null").agg(F.count("*"), F.max("dist")).first()
+        if not left or span > left:
             break
-        # segments double on a cycle: once a pair is longer than all open nodes, it can only be one
-        if with_path:
-            open_ = open_.withColumn("seg", F.when(F.col("dist") <= left, F.col("seg")))
-    out = solved[0]
-    for part in solved[1:]:
-        out = out.unionByName(part)
-    out = out.withColumn("node_depth", F.col("node_depth").cast("int"))
-    if left:
-        out = out.unionByName(open_.select("id", F.lit(CYCLE).alias("root_id"), F.lit(-1).alias("node_depth"), none.alias("path")))
-    return out
+        upper = state.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), F.col("seg").alias("seg2"), F.col("root_id").alias("root2"), F.col("node_depth").alias("depth2"), F.col("path").alias("path2"))
+        moved = state.where("root_id is null").drop("root_id", "node_depth", "path").join(upper, "anc")
+        hit = F.col("root2").isNotNull()
+        moved = moved.select(
+            "id", F.when(hit, F.col("anc")).otherwise(F.col("anc2")).alias("anc"), F.when(hit, F.col("dist")).otherwise(F.col("dist") + F.col("dist2")).alias("dist"), F.when(hit, F.col("seg")).otherwise(F.concat("seg2", "seg")).alias("seg"),
+            F.col("root2").alias("root_id"), (F.col("depth2") + F.col("dist")).alias("node_depth"), F.concat("path2", "seg").alias("path"),
+        )
+        state = checkpoint(state.where("root_id is not null").select(*moved.columns).unionByName(moved).coalesce(tasks))
+    cyclic = F.col("root_id").isNull()
+    deep = state.select("id", F.when(cyclic, CYCLE).otherwise(F.col("root_id")).alias("root_id"), F.when(cyclic, -1).otherwise(F.col("node_depth")).cast("int").alias("node_depth"), "path")
+    return out.unionByName(deep)
 
 
 def ancestor_pairs(resolved: DataFrame) -> DataFrame:
