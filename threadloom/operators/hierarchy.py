@@ -67,11 +67,13 @@ def resolve_hierarchy(nodes: DataFrame, *, prefix: str = "t1_", levels: int = 3,
     # the level after the frontier closes the open nodes' chains; nothing above it is needed again
     last = step(done[-1]).select("id", "root_id", "node_depth", "path")
     state = checkpoint(open_.join(last, "id", "left").coalesce(tasks))
+    before = -1
     while True:
-        # an open pair spans a power of two; one longer than there are open nodes has met some node twice
-        left, span = state.where("root_id is null").agg(F.count("*"), F.max("dist")).first()
-        if not left or span > left:
+        # a round closes every pair whose ancestor is closed; if it closed none, the open nodes only lead to each other
+        left = state.where("root_id is null").count()
+        if left in (0, before):
             break
+        before = left
         upper = state.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), F.col("seg").alias("seg2"), F.col("root_id").alias("root2"), F.col("node_depth").alias("depth2"), F.col("path").alias("path2"))
         moved = state.where("root_id is null").drop("root_id", "node_depth", "path").join(upper, "anc")
         hit = F.col("root2").isNotNull()
