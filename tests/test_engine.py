@@ -122,3 +122,29 @@ def test_providers(spark):
 
 def test_ustrip(spark):
     assert one(spark, "  a b \n", ustrip(F.col("x"))) == "a b"
+
+
+def test_reply_parsing(spark):
+    from threadloom.operators.records import first_json_object, parse_reply, rewrite_mode
+
+    assert first_json_object('x {"a": "}\\"{"} y') == '{"a": "}\\"{"}' and first_json_object("{") is None and first_json_object(None) is None
+    rows = [(1, '```json\n{"a": 1}\n```'), (2, 'so: {"a": 2}!'), (3, "none"), (4, None), (5, "[1]")]
+    got = {r.k: r.parsed for r in parse_reply(spark.createDataFrame(rows, "k int, t string"), "k", "t").collect()}
+    assert got == {1: '{"a": 1}', 2: '{"a": 2}', 3: None, 4: None, 5: None}
+    reply = '{"mode": "confident", "rewrites": [{"query": "a", "confidence": 0.8}, {"query": "b", "confidence": 0.8}]}'
+    m = one(spark, reply, rewrite_mode(F.col("x")))
+    assert (m.mode, m.best) == ("confident", "a")
+    assert one(spark, '{"rewrites": []}', rewrite_mode(F.col("x"))).mode == "clarification"
+
+
+def test_streamed_arrivals(spark, tmp_path):
+    import datetime as dt
+
+    from threadloom.streaming.ingest import arrivals, comment_stream, run_available
+
+    rows = [("word " * 30, None, 1, dt.datetime(2024, 1, 1, 5)), ("x", None, 1, dt.datetime(2024, 1, 1, 6)), ("[deleted]", None, 1, dt.datetime(2024, 1, 2))]
+    d = spark.createDataFrame(rows, "body string, distinguished string, score long, ingested_at timestamp")
+    d.write.parquet(str(tmp_path / "in"))
+    run_available(arrivals(comment_stream(spark, str(tmp_path / "in"), d.schema)), "arrived", str(tmp_path / "cp"))
+    got = sorted((r.n_kept, r.n_dropped) for r in spark.table("arrived").collect())
+    assert got == [(0, 1), (1, 1)]
