@@ -121,11 +121,29 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_statistics, p3_found, p3_redacted, p5_found, p5_pieces, p7_ids, p7_roundtrip, p8_found, p8_spans, p9_found, p9_shared)}
 
 _WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\pL\pN]+'), lambda x: x <> '')"
 
 SQL = {
     "p5_found": f"""
 with t as (select 'comments' as table_name, id as row_key, min(body) as text from comments where id is not null group by id
            union all select 'posts', id, min(selftext) from posts where id is not null group by id)
 select table_name, row_key from t where length(text) > 2400 or len(list_filter(regexp_split_to_array(text, '{_WS}'), lambda x: x <> '')) > 300""",
+    "p1_found": f"""
+with t as (select distinct 'comments' as table_name, id as k, body as x from comments where id is not null and body is not null
+           union all select distinct 'chunk_metadata', chunk_id, text from chunk_metadata where chunk_id is not null and text is not null),
+w as (select table_name, k, {_WORDS.format("x")} as w from t), ok as (select * from w where len(w) >= 40),
+g as (select distinct table_name, k, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as gram from ok),
+n as (select table_name, k, count(*) as n from g group by all),
+p as (select a.table_name, a.k as ka, b.k as kb, count(*) as c from g a join g b on a.table_name = b.table_name and a.gram = b.gram and a.k < b.k group by all)
+select p.table_name, ka as key_a, kb as key_b from p join n na on na.table_name = p.table_name and na.k = ka join n nb on nb.table_name = p.table_name and nb.k = kb where c >= 0.5 * (na.n + nb.n - c)""",
+    "p8_found": f"""
+with i as (select item_id, {_WORDS.format("text")} as w from eval_items), d as (select doc_id, {_WORDS.format("text")} as w from documents where text is not null),
+ig as (select distinct item_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i : i + 12], ' '))) as g from i where len(w) >= 13),
+dg as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i : i + 12], ' '))) as g from d where len(w) >= 13)
+select distinct item_id, doc_id from ig join dg using (g)""",
+    "p9_found": """
+with d as (select doc_id, text, unnest(range(1, length(text) - 298)) as i from documents where length(text) >= 300),
+h as (select distinct doc_id, md5(substring(text, i, 300)) as h from d)
+select distinct a.doc_id as doc_a, b.doc_id as doc_b from h a join h b on a.h = b.h and a.doc_id < b.doc_id""",
     "p7_roundtrip": "select doc_id, true as same from documents",
 }
