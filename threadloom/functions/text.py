@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ WS = r"(?U)[\s\x1c-\x1f]"
 WS_SQL = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ustrip(c: Column) -> Column:
     """Strip Unicode white space from both ends; null stays null."""
     return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
@@ -37,13 +44,15 @@ def blank_to_null(c: Column) -> Column:
 
 def first_sentence(c: Column, cap: int = 280) -> Column:
     """Collapsed text up to the first '. ', else '! ', else '? ', at most ``cap`` characters."""
-    t = ustrip(F.regexp_replace(F.coalesce(c, F.lit("")), f"{WS}+", " "))
 
-    def cut(mark: str) -> Column:
-        i = F.instr(t, mark)
-        return F.when(i > 0, F.substring(t, F.lit(1), F.least(i, F.lit(cap))))
+    def pick(t: Column) -> Column:
+        def cut(mark: str) -> Column:
+            i = F.instr(t, mark)
+            return F.when(i > 0, F.substring(t, F.lit(1), F.least(i, F.lit(cap))))
+
+        return F.coalesce(cut(". "), cut("! "), cut("? "), F.substring(t, F.lit(1), F.lit(cap)))
 
-    return F.coalesce(cut(". "), cut("! "), cut("? "), F.substring(t, F.lit(1), F.lit(cap)))
+    return let(ustrip(F.regexp_replace(F.coalesce(c, F.lit("")), f"{WS}+", " ")), pick)
 
 
 def month(c: Column) -> Column:

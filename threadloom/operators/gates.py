@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import blank_to_null, month, tokens, ustrip, without_punctuation, word_count
+from threadloom.functions.text import blank_to_null, let, month, tokens, ustrip, without_punctuation, word_count
 
 MIN_WORDS = 25
 # fixed values: phrases, whole replies and openers that mark a reply as agreement or thanks
@@ -40,22 +42,27 @@ THANKS_OPENERS = ("thank", "thanks", "grateful", "appreciate")
 
 def exclusion_reason(body: str = "body") -> Column:
     """Why a comment is left out, first match wins; null keeps it."""
-    b = ustrip(F.coalesce(F.col(body), F.lit("")))
-    return F.when(b == "", "empty").when(b == "[deleted]", "deleted").when(b == "[removed]", "removed").when(F.col("distinguished") == "moderator", "moderator").when(F.coalesce("score", F.lit(0)) < 0, "negative_score")
+    kind = let(ustrip(F.coalesce(F.col(body), F.lit(""))), lambda b: F.when(b == "", "empty").when(b == "[deleted]", "deleted").when(b == "[removed]", "removed"))
+    return F.when(kind.isNotNull(), kind).when(F.col("distinguished") == "moderator", "moderator").when(F.coalesce("score", F.lit(0)) < 0, "negative_score")
 
 
 def post_exclusion_reason() -> Column:
     """Why a post is left out; a null is_self counts as a text post."""
-    b = ustrip(F.coalesce("selftext", F.lit("")))
-    return F.when(~F.coalesce("is_self", F.lit(True)), "not_self").when(b == "", "empty").when(b == "[deleted]", "deleted").when(b == "[removed]", "removed").when(F.col("distinguished") == "moderator", "moderator")
+    kind = let(ustrip(F.coalesce("selftext", F.lit(""))), lambda b: F.when(b == "", "empty").when(b == "[deleted]", "deleted").when(b == "[removed]", "removed"))
+    return F.when(~F.coalesce("is_self", F.lit(True)), "not_self").when(kind.isNotNull(), kind).when(F.col("distinguished") == "moderator", "moderator")
 
 
 def _classified(body: Column, phrases, exact, openers, empty: bool) -> Column:
-    t = F.lower(ustrip(F.coalesce(body, F.lit(""))))
-    clean = without_punctuation(t)
-    w = tokens(clean)
-    said = F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(t, p))
-    return F.when(t == "", empty).when(said, True).when(clean == "", empty).when(clean.isin(*exact), True).otherwise((F.size(w) <= 5) & F.element_at(w, 1).isin(*openers))
+    spoken = "|".join(map(re.escape, phrases))
+
+    def cleaned(clean: Column) -> Column:
+        short = let(tokens(clean), lambda w: (F.size(w) <= 5) & F.element_at(w, 1).isin(*openers))
+        return F.when(clean == "", empty).when(clean.isin(*exact), True).otherwise(short)
+
+    def judged(t: Column) -> Column:
+        return F.when(t == "", empty).when(t.rlike(spoken), True).otherwise(let(without_punctuation(t), cleaned))
+
+    return let(F.lower(ustrip(F.coalesce(body, F.lit("")))), judged)
 
 
 def is_agreement(body: Column) -> Column:

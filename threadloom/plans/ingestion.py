@@ -9,11 +9,12 @@ from threadloom.functions.text import WS_SQL, shorten
 from threadloom.operators import chunking as C
 from threadloom.operators import gates as G
 from threadloom.operators.hierarchy import resolve_hierarchy
-from threadloom.runtime import table
+from threadloom.runtime import spread, table
 
 
 def _c(s, d):
-    return table(s, d, "comments")
+    # the word and reply rules cost far more than moving the rows
+    return spread(table(s, d, "comments"))
 
 
 def _p(s, d):
