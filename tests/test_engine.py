@@ -148,3 +148,15 @@ def test_streamed_arrivals(spark, tmp_path):
     run_available(arrivals(comment_stream(spark, str(tmp_path / "in"), d.schema)), "arrived", str(tmp_path / "cp"))
     got = sorted((r.n_kept, r.n_dropped) for r in spark.table("arrived").collect())
     assert got == [(0, 1), (1, 1)]
+
+
+def test_allocation(spark):
+    pool = spark.createDataFrame([(f"c{i}", "ab"[i % 2] if i < 6 else "z") for i in range(7)], "chunk_id string, stratum string")
+    got = {r.stratum: r.target for r in R.allocation(pool, F.lit(4)).collect()}
+    assert got == {"a": 2, "b": 2, "z": 0}  # remainders .71, .71 and .57
+    assert {r.stratum: r.target for r in R.allocation(pool, F.lit(7)).collect()} == {"a": 3, "b": 3, "z": 1}
+    assert R.stratified_sample(pool, F.lit(4)).count() == 4
+    tied = pool.where("stratum <> 'z'")
+    assert {r.stratum: r.target for r in R.allocation(tied, F.lit(3)).collect()} == {"a": 1, "b": 2}
+    with pytest.raises(Exception, match="fewer rows"):
+        R.allocation(pool, F.lit(8)).collect()

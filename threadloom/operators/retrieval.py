@@ -191,7 +191,7 @@ def stratum() -> Column:
 
 
 def allocation(pool: DataFrame, need: Column) -> DataFrame:
-    """(stratum, size, target): largest remainders, ties by key descending.
+    """(stratum, size, target): largest remainders, ties by key descending; a pool of fewer rows raises.
 
     Strata are few (kinds x buckets x years), so the window over them is small.
     """
@@ -199,7 +199,9 @@ def allocation(pool: DataFrame, need: Column) -> DataFrame:
     every = Window.partitionBy()
     d = s.withColumn("total", F.sum("size").over(every)).withColumn("raw", need * F.col("size") / F.col("total")).withColumn("floor", F.floor("raw"))
     d = d.withColumn("left", need - F.sum("floor").over(every)).withColumn("pos", F.row_number().over(every.orderBy(F.desc(F.round(F.col("raw") - F.col("floor"), 12)), F.desc("stratum"))))
-    return d.select("stratum", "size", (F.col("floor") + (F.col("pos") <= F.col("left")).cast("long")).cast("long").alias("target"))
+    target = (F.col("floor") + (F.col("pos") <= F.col("left")).cast("long")).cast("long")
+    short = F.raise_error(F.lit("the pool has fewer rows than are needed")).cast("long")
+    return d.select("stratum", "size", F.when(F.col("total") < need, short).otherwise(target).alias("target"))
 
 
 def stratified_sample(pool: DataFrame, need: Column, seed: int = 42) -> DataFrame:

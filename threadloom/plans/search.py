@@ -85,11 +85,11 @@ def _pool(s, d):
 
 
 def tk6_allocation(s, d):
-    return R.allocation(_pool(s, d), F.lit(100))
+    return R.allocation(_pool(s, d), F.lit(50))
 
 
 def tk6_sample(s, d):
-    return R.stratified_sample(_pool(s, d), F.lit(100)).select("chunk_id", "stratum")
+    return R.stratified_sample(_pool(s, d), F.lit(50)).select("chunk_id", "stratum")
 
 
 def tk2_cosine_topk(s, d):
@@ -207,8 +207,8 @@ SQL = {
     "w5_positives": _CAND + "select * from pos",
     "tk6_allocation": _CAND + """, pool as (select chunk_type || '|' || case when v <= 0 then 'low' when v <= 10 then 'mid' else 'high' end || '|' || coalesce(year(make_timestamp(created_utc * 1000000))::varchar, 'unknown') as stratum
   from (select *, coalesce(nullif(comment_score, 0), post_score, 0) as v from ch where chunk_id not in (select chunk_id from pos))),
-g as (select stratum, count(*) as size from pool group by 1), f as (select *, 100 * size / sum(size) over () as raw, floor(100 * size / sum(size) over ()) as fl from g),
-o as (select *, 100 - sum(fl) over () as rest, row_number() over (order by round(raw - fl, 12) desc, stratum desc) as pos from f)
+g as (select stratum, count(*) as size from pool group by 1), f as (select *, 50 * size / sum(size) over () as raw, floor(50 * size / sum(size) over ()) as fl from g),
+o as (select *, 50 - sum(fl) over () as rest, row_number() over (order by round(raw - fl, 12) desc, stratum desc) as pos from f)
 select stratum, size, (fl + (pos <= rest)::int)::bigint as target from o""",
     "tk2_cosine_topk": _COS + "select query_id, id, score, rank from top",
     "r10_metrics": _COS + "select * from met",
