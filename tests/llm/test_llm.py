@@ -50,6 +50,24 @@ def test_near_duplicates_against_brute_force(spark, n, threshold):
     assert got == want and len(want) > 10
 
 
+def test_near_duplicates_without_a_long_common_run(spark):
+    rnd = random.Random(5)
+    texts = []
+    for size in (40, 60, 150):
+        base = [f"v{rnd.randrange(10**6)}" for _ in range(size)]
+        texts.append(base)
+        for gap in (9, 10, 11, 12, 13):
+            texts.append([f"x{gap}{i}" if i % gap == 0 and i else w for i, w in enumerate(base)])
+        parts = [base[i : i + 10] for i in range(0, size, 10)]
+        texts.append([w for i in (*range(1, len(parts), 2), *range(0, len(parts), 2)) for w in parts[i]])
+    template = [f"t{i}" for i in range(30)]
+    texts += [template + [f"u{k}{i}" for i in range(rnd.randint(25, 45))] for k in range(150)]
+    texts = [" ".join(w) for w in texts]
+    got = {(r.key_a, r.key_b) for r in near_duplicates.similar_records(keyed(spark, texts), n=3, threshold=0.5).collect()}
+    want = {(f"k{i:04d}", f"k{j:04d}") for i in range(len(texts)) for j in range(i + 1, len(texts)) if jaccard(texts[i], texts[j], 3) >= 0.5}
+    assert got == want and ("k0000", "k0003") in want and ("k0007", "k0013") in want
+
+
 def test_large_class_of_copies_is_a_star(spark, monkeypatch):
     text = " ".join(f"w{i}" for i in range(60))
     rows = keyed(spark, [text] * 40 + [text + " more"])
