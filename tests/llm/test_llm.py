@@ -241,6 +241,19 @@ def test_prose(text, prose):
     assert text_quality.statistics(text, COMMON, False, pairs)[-1] is prose
 
 
+ONE_LINE = "I was tired for weeks and then it got better, slowly but surely."
+
+
+@pytest.mark.parametrize(("text", "prose"), [
+    (f"{ONE_LINE}\n" * 3, False), (f"{ONE_LINE}\n\n" * 4, False), (f"{ONE_LINE}\n" * 7, False), (f"I wake up early every day.\n{ONE_LINE}\n\n" * 3, False), ("drink more green tea " * 3, False),
+    (f"{ONE_LINE}\n" * 2, True), (f"{ONE_LINE}\nThanks.\nThanks.\nThanks.", True), ("We tried the new diet last week, and we tried the new diet again.", True),
+])
+def test_repeated_prose_is_no_prose(text, prose):
+    pairs = text_quality.letter_pairs(COMMON)
+    full, short = (text_quality.statistics(text, COMMON, f, pairs) for f in (True, False))
+    assert full[-1] is short[-1] is prose and full[7:] == short[7:]
+
+
 def test_statistics_frame(spark):
     cw = spark.createDataFrame([("The",), (None,), ("and",)], "word string")
     got = {r.row_key: r for r in text_quality.text_statistics(keyed(spark, ["The cat. The cat.\n\nThe cat. The cat.", *ODD]), cw).collect()}

@@ -1,9 +1,9 @@
 """Per-document text statistics that tell prose from lists, tables and junk.
 
 Every line of a text is put into one kind by combined rules; the shares of the
-kinds, by non-blank characters, say what the text mostly is.  Repetition
-statistics (duplicate lines and paragraphs, coverage by the commonest n-gram)
-and the usual counts stand beside them.
+kinds, by non-blank characters, say what the text mostly is.  A text that mostly
+repeats itself (duplicate lines and paragraphs, coverage by the commonest n-gram)
+is not prose either.  The usual counts stand beside them.
 """
 
 from __future__ import annotations
@@ -181,17 +181,19 @@ def kind_shares(text: str, pairs: frozenset[str] = frozenset()) -> tuple[float,
     return shares[0], shares[1], shares[2]
 
 
-def top_gram_share(w: list[str], n: int) -> float:
-    """Share of the words' characters that the commonest n-gram covers, if it comes more than once."""
+def top_gram(w: list[str], n: int) -> tuple[float, int]:
+    """Share of the words' characters that the commonest n-gram covers, if it comes more than once, and how often it comes."""
     if len(w) < 2 * n:
-        return 0.0
+        return 0.0, 0
     grams = Counter(zip(*(w[i:] for i in range(n)), strict=False))
     gram, count = max(grams.items(), key=lambda x: (x[1], x[0]))
-    return min(1.0, count * sum(map(len, gram)) / sum(map(len, w))) if count > 1 else 0.0
+    return min(1.0, count * sum(map(len, gram)) / sum(map(len, w))) if count > 1 else 0.0, count
 
 
 def repeat_share(parts: list[str]) -> float:
     """Share of characters in parts that have come before."""
+    if len(parts) < 2:
+        return 0.0
     seen, twice, total = set(), 0, 0
     for p in parts:
         total += len(p)
@@ -200,6 +202,19 @@ def repeat_share(parts: list[str]) -> float:
     return twice / total if total else 0.0
 
 
+def repetition(text: str, w: list[str]) -> tuple[tuple[float, ...], bool]:
+    """Shares of duplicate lines and paragraphs and of the commonest 2-, 3- and 4-gram; whether the text mostly repeats itself.
+
+    It does if more than half of it is lines or paragraphs that came before, or
+    one 3- or 4-gram that comes three times or more.
+    """
+    lines = [x.strip() for x in text.splitlines() if x.strip()]
+    paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()] if len(lines) > 1 else lines
+    twice = repeat_share(lines), repeat_share(paragraphs)
+    grams = [top_gram(w, n) for n in (2, 3, 4)]
+    return (*twice, *(share for share, _ in grams)), max(twice) > 0.5 or any(share > 0.5 and count > 2 for share, count in grams[1:])
+
+
 FIELDS = ("n_chars", "n_tokens", "n_words", "mean_word_len", "symbol_ratio", "end_punct_share", "common_share", "dup_line_share", "dup_paragraph_share", "top_2gram", "top_3gram", "top_4gram", "list_share", "table_share", "junk_share", "is_prose")
 _TYPES = (pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 12, pa.bool_())
 SCHEMA = "table_name string, row_key string, " + ", ".join(f"{f} {'long' if t == pa.int64() else 'boolean' if t == pa.bool_() else 'double'}" for f, t in zip(FIELDS, _TYPES, strict=True))
@@ -210,20 +225,21 @@ def statistics(text: str | None, common: frozenset[str], full: bool = True, pair
 
     Without ``full`` only the counts and what ``is_prose`` needs are worked out.
     A text is not prose if it has LEAST_CHARS characters and more than half of
-    its non-blank ones are in list, table or junk lines.
+    its non-blank ones are in list, table or junk lines, or if it mostly repeats
+    itself.
     """
     text = text or ""
     n_tokens = len(text.split())
     judged = len(text) >= LEAST_CHARS and text not in NOT_TEXT
     shares = kind_shares(text, pairs) if judged or full else (0.0, 0.0, 0.0)
-    prose = not (judged and sum(shares) > 0.5)
+    w = WORD.findall(text.lower()) if judged or full else []
+    repeats, repeated = repetition(text, w) if judged or full else ((0.0,) * 5, False)
+    prose = not (judged and (sum(shares) > 0.5 or repeated))
     if not full:
-        return (len(text), n_tokens, 0, *[0.0] * 9, *shares, prose)
-    w = WORD.findall(text.lower())
+        return (len(text), n_tokens, len(w), *[0.0] * 4, *repeats, *shares, prose)
     lines = [x.strip() for x in text.splitlines() if x.strip()]
     letters = sum(map(len, w))
     solid = sum(map(len, text.split()))
-    paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
     return (
         len(text),
         n_tokens,
@@ -232,9 +248,7 @@ def statistics(text: str | None, common: frozenset[str], full: bool = True, pair
         (solid - letters) / solid if solid else 0.0,
         sum(x[-1] in ".!?…。！？\"'”’)" for x in lines) / len(lines) if lines else 0.0,
         sum(x in common for x in w) / len(w) if w else 0.0,
-        repeat_share(lines),
-        repeat_share(paragraphs),
-        *(top_gram_share(w, n) for n in (2, 3, 4)),
+        *repeats,
         *shares,
         prose,
     )
