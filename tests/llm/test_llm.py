@@ -281,6 +281,16 @@ def test_personal_data(text, kinds):
     assert all(f"[{k.upper()}]" in clean for k in kinds) and (kinds or clean == text)
 
 
+@pytest.mark.parametrize(("text", "phones"), [
+    ("555-123-4567\n2. next item", ["555-123-4567"]), ("555-123-4567\n(555) 987-6543", ["555-123-4567", "(555) 987-6543"]), ("1. 555-123-4567\n2. 555-987-6543", ["555-123-4567", "555-987-6543"]),
+    ("12\t555-123-4567\t34", ["555-123-4567"]), ("555-123-4567   24", ["555-123-4567"]), ("call 555-123-4567 24 hours", ["555-123-4567"]), ("call 555 123 4567 24 hours", ["555 123 4567"]),
+    ("555-123-4567 555-987-6543", ["555-123-4567", "555-987-6543"]), ("120 130 1400 150 160", []), ("00 15 30 45 60 75", []), ("120\t130\t1400\n150\t160\t1700", []),
+])
+def test_phones_beside_other_figures(text, phones):
+    found = personal_data.Finder(frozenset(), COMMON).find(text)
+    assert [text[s:e] for s, e, k in found if k == "phone"] == phones and len(found) == len(phones)
+
+
 def test_personal_data_frame(spark):
     given = spark.createDataFrame([("Mirela",), (None,), ("",)], "given_name string")
     cw = spark.createDataFrame([("the",)], "word string")

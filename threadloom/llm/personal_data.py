@@ -38,6 +38,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](
 _SPELT = re.compile(r"\s*[A-Za-z0-9-]+(?:\s*[(\[{]\s*dot\s*[)\]}]\s*[A-Za-z0-9-]+)+|\s*" + _DOMAIN.pattern)
 _SPELT_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\s*$")
 _DIGITS = re.compile(r"(?<![\w.,/=&?-])(?:\+\s?)?\(?\d[\d\s().\-/]{3,}\d(?![\d=])|(?<![\w=])[A-Za-z]{2,3} ?\d{4}[- ]?\d{3,4}(?: \d{2})?(?!\w)")
+#: What parts two numbers: line breaks, tabs, three blanks.
+_WIDE_GAP = re.compile(r"\s*[^\S \xa0\u2000-\u200a\u202f\u205f\u3000\u1680]\s*|\s{3,}")
+_LIST_MARK = re.compile(r"\d{1,3}[.)]\s+(?=[(\d])")
+_GROUPED = re.compile(r"(?:1[-. ])?\(?\d{3}\)?[-. ]\d{3}[-.]\d{4}")
 _SSN = re.compile(r"(?<!\d)\d{3}([- ])\d{2}\1\d{4}(?!\d)")
 _CODED = re.compile(r"(?<!\w)(?:[A-Z]{2,3} ?\d{4} \d{4} \d{2}|[A-Z]{2,3} ?\d{4}[- ]?\d{4}|[A-Z]{2}\d{7})(?!\w)")
 _ID_TOKEN = re.compile(r"\W{0,3}(?:(?:is|was|no|number|nr|id)\b\W{0,3}){0,2}([A-Za-z]{0,3} ?\d[\dA-Za-z]*(?:[ /.-]\d+)*)", re.I)
@@ -138,14 +142,12 @@ class Finder:
             if not re.search(r"(?:" + "|".join(OTHER_CUES) + r")\W{0,3}(?:no\.?|number|is|#)?\W{0,3}$", low[max(0, m.start() - 24) : m.start()]):
                 out.append((m.start(), m.end(), "id_number"))
         for m in _DIGITS.finditer(text):
-            raw = m.group()
-            if "\n" in raw or "\t" in raw or "   " in raw or raw[0].isalpha():
+            if m.group()[0].isalpha():
                 continue
-            start, raw = m.start(), raw.rstrip(" .-/(")
-            digits = "".join(c for c in raw if c.isdigit())
-            before = low[max(0, start - 28) : start]
-            if phone_like(raw, digits, before):
-                out.append((start, start + len(raw), "phone"))
+            at = m.start()
+            for gap in [*_WIDE_GAP.finditer(text, m.start(), m.end()), None]:
+                out += [(s, e, "phone") for s, e in phones(text, low, at, gap.start() if gap else m.end())]
+                at = gap.end() if gap else at
         return out
 
     # addresses ----------------------------------------------------------
@@ -259,7 +261,7 @@ def phone_like(raw: str, digits: str, before: str) -> bool:
     two to four groups.  Without groups, or where another word announces the
     number, a telephone word has to stand before it.
     """
-    called = any(re.search(rf"\b{c}\b", before[-22:]) for c in PHONE_CUES)
+    called = announced(before)
     other = re.search(r"\b(?:" + "|".join(OTHER_CUES) + r")\b\W{0,3}(?:no\.?|number|is|#)?\W{0,3}$", before)
     if other or re.search(r"(?:" + "|".join(ID_CUES) + r")\W*(?:is|no\.?|number)?\W*$", before):
         return False
@@ -275,6 +277,39 @@ def phone_like(raw: str, digits: str, before: str) -> bool:
     return called and len(digits) in (10, 11) and len(groups) <= 5
 
 
+def phones(text: str, low: str, s: int, e: int) -> list[tuple[int, int]]:
+    """Telephone numbers in a run of digits without wide gaps.
+
+    If the whole run is none, the longest leading groups that are one count; as
+    blanks may part figures of any kind, they have to be grouped by more than
+    blanks or be announced.  What follows a number is looked at again.
+    """
+    out = []
+    while s < e:
+        while s < e and text[s] in " .-/)":
+            s += 1
+        mark = _LIST_MARK.match(text, s, e)
+        s = mark.end() if mark else s
+        before = low[max(0, s - 28) : s]
+        ends = [e, *(x.start() for x in reversed(list(re.compile(r"\s+").finditer(text, s, e))))]
+        for k in ends:
+            raw = text[s:k].rstrip(" .-/(")
+            if not phone_like(raw, "".join(c for c in raw if c.isdigit()), before):
+                continue
+            if k == e or _GROUPED.fullmatch(raw) or announced(before):
+                out.append((s, s + len(raw)))
+                s += len(raw)
+                break
+        else:
+            break
+    return out
+
+
+def announced(before: str) -> bool:
+    """Whether a telephone word stands before a number."""
+    return any(re.search(rf"\b{c}\b", before[-22:]) for c in PHONE_CUES)
+
+
 def settle(hits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Non-overlapping finds: earlier kinds of KINDS win, then longer ones."""
     out: list[tuple[int, int, str]] = []
