@@ -220,6 +220,20 @@ def test_shared_spans_against_brute_force(spark):
     assert all(300 <= r.shared_chars <= r.n_chars for r in share.values())
 
 
+def test_shared_spans_of_periodic_stretches(spark):
+    rnd = random.Random(11)
+    noise = lambda: "".join(rnd.choices("abcdefghij ", k=70))
+    texts = []
+    for unit in ("-", "=+", "<1234567890>", "".join(rnd.choices("KLMNOPQRST", k=31))):
+        for size in (5000, 1500, *range(300, 361, 10), 303, 307):
+            skip = rnd.randrange(len(unit))
+            texts.append(noise() + (unit * 5100)[skip : skip + size] + noise())
+    sets = [{t[i : i + 300] for i in range(len(t) - 299)} for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if sets[i] & sets[j]}
+    got = {tuple(r) for r in shared_spans.shared_pairs(spark.createDataFrame(list(enumerate(texts)), "doc long, text string")).collect()}
+    assert got == want and len(want) > 100
+
+
 def test_shared_spans_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, "a")], "doc long, text string")
     assert shared_spans.shared_pairs(df).count() == 0 and shared_spans.shared_share(df.limit(0)).count() == 0

@@ -197,6 +197,27 @@ def _agree_back(x: str, i: int, y: str, j: int) -> int:
     return n
 
 
+def _periodic_alignments(x: str, p: int, y: str, shift: int) -> list[tuple[int, int]]:
+    """(place in x, shift) of the other alignments of the periodic stretches around x[p] and y[p - shift], if they are such.
+
+    Only the first and last symbol of a stretch were kept, so the alignment met
+    need not be the longest.  Of those that differ by whole periods the longest
+    has the stretches' starts, or their ends, less than a period apart.
+    """
+    w = x[p : p + WINDOW]
+    period = x.find(w, p + 1, p + len(w) + SELECT + LONGEST) - p
+    at = p - shift
+    if period <= 0 or y[at + period : at + period + len(w)] != w:
+        return []
+    from_x, to_x = p - _agree_back(x, p + period, x, p), p + period + _agree(x, p + period, x, p)
+    from_y, to_y = at - _agree_back(y, at + period, y, at), at + period + _agree(y, at + period, y, at)
+    out = []
+    for apart in (from_x - from_y, to_x - to_y):
+        below = shift + (apart - shift) // period * period
+        out += [(max(from_x, from_y + z), z) for z in (below, below + period) if z != shift]
+    return [(q, z) for q, z in dict.fromkeys(out) if q < min(to_x, to_y + z)]
+
+
 def _verify(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,6 +231,10 @@ def _verify(min_chars: int):
                     covered = p + fore
                     if fore + back >= min_chars:
                         out.append((a, c, p - back, p - back - shift, fore + back))
+                    for q, other in _periodic_alignments(x, p, y, shift):
+                        fore, back = _agree(x, q, y, q - other), _agree_back(x, q, y, q - other)
+                        if fore + back >= min_chars:
+                            out.append((a, c, q - back, q - back - other, fore + back))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_a", "doc_b", "from_a", "from_b", "n_chars"])
 
