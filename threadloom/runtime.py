@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Settings every session of the engine should have; none depends on the machine.
 SESSION_CONF = {
@@ -46,19 +48,41 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that all executors see: ``spark.checkpoint.dir`` of the session.
 
-    ``spark.checkpoint.dir`` of the session is used as it is; only where neither
-    it nor a directory set on the context exists (tests) is a temporary one made.
+    Only where neither it nor a directory set on the context exists, and the
+    session is local (tests), a temporary one is made; on a cluster this raises.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "threadloom-checkpoints"))
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if not held.isEmpty():
+        return held.get()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        named = os.path.join(tempfile.gettempdir(), "threadloom-checkpoints")
+    sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage by a compressed table in the shared folder, which the file system drops when the application ends."""
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
@@ -81,6 +105,15 @@ def empty_like(schema: str) -> pd.DataFrame:
     return pd.DataFrame({n: [] for n in names})
 
 
-def small_or_shuffled(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
-    """A checkpointed table with a broadcast hint if it has few rows; a larger one is left to a shuffled join."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def small_or_shuffled(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """A table with a broadcast hint if its rows take few bytes; a larger one is left to a shuffled join.
+
+    The rows are counted up to the bound only.  A string counts by its mean
+    length in the rows counted.
+    """
+    width = sum(8 if not isinstance(f.dataType, StringType) else 24 for f in df.schema)
+    most_rows = most_bytes // max(width, 1)
+    texts = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
+    seen = df.limit(most_rows + 1).agg(F.count("*").alias("n"), *(F.sum(F.octet_length(c)).alias(f"_{i}") for i, c in enumerate(texts))).first()
+    size = seen["n"] * width + sum(seen[f"_{i}"] or 0 for i in range(len(texts)))
+    return F.broadcast(df) if seen["n"] <= most_rows and size <= most_bytes else df
