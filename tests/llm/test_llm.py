@@ -68,6 +68,17 @@ def test_near_duplicates_without_a_long_common_run(spark):
     assert got == want and ("k0000", "k0003") in want and ("k0007", "k0013") in want
 
 
+def test_large_nodes_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "NODE", 12)
+    monkeypatch.setattr(near_duplicates, "SHARD", 1 << 14)
+    rnd = random.Random(8)
+    template = [f"t{i}" for i in range(40)]
+    texts = [" ".join(template + [f"u{k}{i}" for i in range(rnd.randint(5, 45))]) for k in range(240)]
+    got = {(r.key_a, r.key_b) for r in near_duplicates.similar_records(keyed(spark, texts), n=3, threshold=0.5).collect()}
+    want = {(f"k{i:04d}", f"k{j:04d}") for i in range(len(texts)) for j in range(i + 1, len(texts)) if jaccard(texts[i], texts[j], 3) >= 0.5}
+    assert got == want and len(want) > 1000
+
+
 def test_large_class_of_copies_is_a_star(spark, monkeypatch):
     text = " ".join(f"w{i}" for i in range(60))
     rows = keyed(spark, [text] * 40 + [text + " more"])

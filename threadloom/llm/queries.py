@@ -51,7 +51,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_classes(spark: SparkSession, d: str) -> DataFrame:
-    return duplicate_classes(_bodies_and_chunks(spark, d))
+    return duplicate_classes(_bodies_and_chunks(spark, d), n=3, threshold=0.5)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -136,6 +136,16 @@ g as (select distinct table_name, k, unnest(list_transform(range(1, len(w) - 1),
 n as (select table_name, k, count(*) as n from g group by all),
 p as (select a.table_name, a.k as ka, b.k as kb, count(*) as c from g a join g b on a.table_name = b.table_name and a.gram = b.gram and a.k < b.k group by all)
 select p.table_name, ka as key_a, kb as key_b from p join n na on na.table_name = p.table_name and na.k = ka join n nb on nb.table_name = p.table_name and nb.k = kb where c >= 0.5 * (na.n + nb.n - c)""",
+    "p1_classes": f"""
+with t as (select distinct 'comments' as table_name, id as k, body as x from comments where id is not null and body is not null
+           union all select distinct 'chunk_metadata', chunk_id, text from chunk_metadata where chunk_id is not null and text is not null),
+w as (select table_name, k, x, {_WORDS.format("x")} as w from t), ok as (select * from w where len(w) >= 40),
+c as (select table_name, x, min(k) as ck, count(*) as copies, any_value(w) as w from ok group by all),
+g as (select distinct table_name, ck, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as gram from c),
+n as (select table_name, ck, count(*) as n from g group by all),
+p as (select a.table_name, a.ck as ka, b.ck as kb, count(*) as c from g a join g b on a.table_name = b.table_name and a.gram = b.gram and a.ck <> b.ck group by all),
+l as (select p.table_name, ka as ck, count(*) as links from p join n na on na.table_name = p.table_name and na.ck = ka join n nb on nb.table_name = p.table_name and nb.ck = kb where c >= 0.5 * (na.n + nb.n - c) group by all)
+select ok.table_name, ok.k as row_key, c.ck as class_key, coalesce(links, 0)::bigint as n_links from ok join c using (table_name, x) left join l on l.table_name = c.table_name and l.ck = c.ck where copies > 1 or links > 0""",
     "p8_found": f"""
 with i as (select item_id, {_WORDS.format("text")} as w from eval_items), d as (select doc_id, {_WORDS.format("text")} as w from documents where text is not null),
 ig as (select distinct item_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i : i + 12], ' '))) as g from i where len(w) >= 13),
