@@ -73,13 +73,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_at_end(spark: SparkSession, folder: str) -> None:
+    """Have the file system drop a folder when the application ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Cut lineage by a compressed table in the shared folder, which the file system drops when the application ends."""
+    """Cut lineage by a compressed table in the shared folder, which is dropped when the application ends."""
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    drop_at_end(spark, at)
     return spark.read.schema(df.schema).parquet(at)
 
 
