@@ -112,30 +112,72 @@ def messy(rnd, n):
     return "".join(out)
 
 
+LIMITS = splitting.Limits(300, 2400, 30)
+
+
 def test_pieces_keep_the_limits():
     rnd = random.Random(2)
     for _ in range(150):
         t = messy(rnd, rnd.randint(0, 1200))
-        spans = splitting.split_text(t)
-        assert all(e - s <= 2400 and len(t[s:e].split()) <= 300 for s, e in spans)
-        joined = "".join(t[max(s, spans[i - 1][1] if i else 0) : e] for i, (s, e) in enumerate(spans))
+        body = t.encode()
+        spans, n_tokens, n_chars = splitting.split_bytes(body)
+        assert n_tokens == len(t.split()) and n_chars == len(t)
+        assert all(e - s <= 2400 and len(t[s:e].split()) <= 300 and body[x:y].decode() == t[s:e] for s, e, x, y in spans)
+        joined = "".join(t[max(s, spans[i - 1][1] if i else 0) : e] for i, (s, e, _, _) in enumerate(spans))
         assert "".join(joined.split()) == "".join(t.split())
     plain = " ".join(f"word{i}." for i in range(900))
-    spans = splitting.split_text(plain)
-    assert all(len(plain[b:a].split()) == 30 for (_, a), (b, _) in zip(spans, spans[1:], strict=False))
+    spans, _, _ = splitting.split_bytes(plain.encode())
+    assert all(len(plain[b:a].split()) == 30 for (_, a, _, _), (b, _, _, _) in zip(spans, spans[1:], strict=False))
+
+
+def gapped(rnd):
+    """White space longer than a halo, just before and over range borders."""
+    return "".join(messy(rnd, rnd.randint(5, 300)) + rnd.choice([" ", "\n", "\u3000"]) * rnd.choice([1, 399, 401, 900, 5000]) for _ in range(25)) + "end of it"
 
 
-def test_ranges_give_the_pieces_of_whole_texts(spark):
+def long_texts():
     rnd = random.Random(3)
-    texts = [messy(rnd, n) for n in (900, 2000, 3500)] + ["y" * 9000, "ab " * 4000, *ODD]
+    return [messy(rnd, n) for n in (900, 2000, 3500, 20000)] + ["y" * 9000, "字" * 7000, "ab " * 4000, "🫶é" * 3000 + " z" * 4000, *(gapped(rnd) for _ in range(6)), " " * 3000, *ODD]
+
+
+@pytest.mark.parametrize("size", [997, 4096, 10_000, 1 << 16])
+def test_ranges_give_the_pieces_of_whole_texts(size):
+    for t in long_texts():
+        if t:
+            assert splitting.split_bytes(t.encode(), LIMITS, size) == splitting.split_bytes(t.encode(), LIMITS, 1 << 30)
+
+
+def test_split_texts(spark):
+    texts = long_texts()
     rows = keyed(spark, texts)
-    cols = ["row_key", "piece_index", "n_pieces", "start_char", "end_char", "n_tokens", "n_chars", "piece"]
-    whole = sorted(tuple(r) for r in splitting.split_texts(rows, range_chars=1 << 20).select(*cols).collect())
-    cut = sorted(tuple(r) for r in splitting.split_texts(rows, range_chars=4096).select(*cols).collect())
-    assert [x[:5] for x in cut] == [x[:5] for x in whole]
-    assert cut == whole
-    over = {r.row_key for r in splitting.split_texts(rows, with_text=False, oversized_only=True).collect()}
-    assert over == {f"k{i:04d}" for i, t in enumerate(texts) if t and (len(t) > 2400 or len(t.split()) > 300)}
+    got = splitting.split_texts(rows.unionByName(rows.limit(1))).collect()
+    by = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.row_key, r.piece_index)):
+        by[r.row_key].append(r)
+    assert any(len(t or "") > 1 << 16 for t in texts)
+    for i, t in enumerate(texts):
+        mine = by.get(f"k{i:04d}", [])
+        want = splitting.split_bytes(t.encode())[0] if t else []
+        again = 2 if i == 0 else 1
+        assert [(r.start_char, r.end_char) for r in mine] == [(s, e) for s, e, _, _ in want for _ in range(again)]
+        assert all(r.piece == t[r.start_char : r.end_char] and r.n_chars == len(t) and r.n_tokens == len(t.split()) and r.n_pieces == len(want) for r in mine)
+
+
+def test_split_files(spark, tmp_path):
+    texts = [t for t in long_texts() if t]
+    for i, t in enumerate(texts):
+        (tmp_path / f"f{i:03d}.txt").write_bytes(t.encode())
+    (tmp_path / "empty.txt").write_bytes(b"")
+    (tmp_path / "bad.txt").write_bytes(b"ab \xff\xfe cd " * 900)
+    got = defaultdict(list)
+    for r in sorted(splitting.split_files(spark, str(tmp_path), range_bytes=4096).collect(), key=lambda r: (r.path, r.piece_index)):
+        got[r.path.rsplit("/", 1)[1]].append(r)
+    for i, t in enumerate(texts):
+        spans, n_tokens, n_chars = splitting.split_bytes(t.encode())
+        mine = got[f"f{i:03d}.txt"]
+        assert [(r.start_char, r.end_char, r.start_byte, r.end_byte) for r in mine] == spans
+        assert all(r.piece == t[r.start_char : r.end_char] and (r.n_tokens, r.n_chars, r.n_pieces) == (n_tokens, n_chars, len(spans)) for r in mine)
+    assert "empty.txt" not in got and got["bad.txt"][0].piece.startswith("ab \ufffd\ufffd cd")
 
 
 def test_encoding_equals_the_library(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import keyed_text, one_per_key
@@ -10,7 +10,7 @@ from threadloom.llm.leakage import find_leaks
 from threadloom.llm.near_duplicates import duplicate_classes, similar_records
 from threadloom.llm.personal_data import find_personal_data
 from threadloom.llm.shared_spans import shared_pairs, shared_share
-from threadloom.llm.splitting import split_texts
+from threadloom.llm.splitting import MAX_CHARS, MAX_TOKENS, split_texts
 from threadloom.llm.text_quality import text_statistics, text_tokens
 from threadloom.llm.tokenization import decode_corpus, encode_corpus
 from threadloom.runtime import spread, table
@@ -79,12 +79,26 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    pieces = split_texts(_delivered(spark, d), with_text=False, oversized_only=True)
-    return pieces.where("piece_index = 0").select("table_name", "row_key").distinct()
+    pieces = split_texts(_delivered(spark, d))
+    return pieces.where(f"n_tokens > {MAX_TOKENS} or n_chars > {MAX_CHARS}").select("table_name", "row_key").distinct()
 
 
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return split_texts(_comments(spark, d).unionByName(_posts(spark, d)))
+    return split_texts(spread(_comments(spark, d).unionByName(_posts(spark, d))))
+
+
+def p5_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Of every text that has pieces: its counts, whether all pieces keep the limits, and whether they leave out white space only."""
+    key = ["table_name", "row_key"]
+    texts = spread(_comments(spark, d).unionByName(_posts(spark, d)))
+    order = Window.partitionBy(*key).orderBy("piece_index")
+    pieces = split_texts(texts).withColumn("from", F.coalesce(F.lag("end_char").over(order), F.lit(0))).withColumn("upto", F.lead("start_char").over(order))
+    token = r"(?U)[^\s\x1c-\x1f]+"
+    within = (F.length("piece") <= MAX_CHARS) & (F.size(F.regexp_extract_all("piece", F.lit(f"({token})"), 1)) <= MAX_TOKENS)
+    spans = pieces.groupBy(*key).agg(F.first("n_chars").alias("n_chars"), F.first("n_tokens").alias("n_tokens"), F.min(within).alias("within"), F.collect_list(F.struct("from", "start_char", "end_char", "upto")).alias("s"))
+    cut = lambda a, b: ~F.substring(F.col("text"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")).rlike(token)
+    whole = F.forall("s", lambda x: cut(x["from"], x["start_char"]) & F.when(x["upto"].isNull(), cut(x["end_char"], F.col("n_chars"))).otherwise(True))
+    return spans.join(texts, key).select(*key, "n_chars", "n_tokens", "within", whole.alias("complete"))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -118,16 +132,20 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_share(_texts(spark, d)).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_statistics, p3_found, p3_redacted, p5_found, p5_pieces, p7_ids, p7_roundtrip, p8_found, p8_spans, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_statistics, p3_found, p3_redacted, p5_found, p5_pieces, p5_checked, p7_ids, p7_roundtrip, p8_found, p8_spans, p9_found, p9_shared)}
 
 _WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\pL\pN]+'), lambda x: x <> '')"
 
-SQL = {
-    "p5_found": f"""
+_LONG = f"""
 with t as (select 'comments' as table_name, id as row_key, min(body) as text from comments where id is not null group by id
-           union all select 'posts', id, min(selftext) from posts where id is not null group by id)
-select table_name, row_key from t where length(text) > 2400 or len(list_filter(regexp_split_to_array(text, '{_WS}'), lambda x: x <> '')) > 300""",
+           union all select 'posts', id, min(selftext) from posts where id is not null group by id),
+n as (select table_name, row_key, length(text)::bigint as n_chars, len(list_filter(regexp_split_to_array(text, '{_WS}'), lambda x: x <> ''))::bigint as n_tokens from t where text is not null)
+"""
+
+SQL = {
+    "p5_found": _LONG + "select table_name, row_key from n where n_chars > 2400 or n_tokens > 300",
+    "p5_checked": _LONG + "select *, true as within, true as complete from n where n_tokens > 0 or n_chars > 2400",
     "p1_found": f"""
 with t as (select distinct 'comments' as table_name, id as k, body as x from comments where id is not null and body is not null
            union all select distinct 'chunk_metadata', chunk_id, text from chunk_metadata where chunk_id is not null and text is not null),
