@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.runtime import checkpoint, small_or_shuffled
+from threadloom.runtime import small_or_shuffled, stored
 
 #: Text word: maximal run of letters and digits, lower-cased before the search.
 WORD = re.compile(r"[^\W_]+")
@@ -32,7 +32,7 @@ def one_per_key(df: DataFrame) -> DataFrame:
     """
     key = ["table_name", "row_key"]
     df = df.where("row_key is not null")
-    twice = checkpoint(df.groupBy(*key).count().where("count > 1").select(*key))
+    twice = stored(df.groupBy(*key).count().where("count > 1").select(*key))
     twice = small_or_shuffled(twice)
     rest = df.join(twice, key, "left_semi").groupBy(*key).agg(F.min("text").alias("text"))
     return df.join(twice, key, "left_anti").select(*key, "text").unionByName(rest)

@@ -1,9 +1,9 @@
 """Long exact spans shared between records, by recompression.
 
 Rounds rename runs of equal symbols and then pairs of neighbours; a name is a
-64-bit hash of what it stands for, so it is the same in every task and no round
-needs to gather a dictionary.  Only short symbols are joined, up to a bound
-that grows with the rounds.  What a round does at a place depends on that
+64-bit hash of what it stands for, so it is global: the same in every task,
+without a dictionary that a round would have to gather.  Only short symbols are
+joined, up to a bound that grows with the rounds.  What a round does at a place depends on that
 bound's worth of context; so inside equal substrings, further than EROSION
 characters from their ends, all symbols and their borders are equal.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.runtime import checkpoint, small_or_shuffled, spread
+from threadloom.runtime import small_or_shuffled, spread, stored
 
 MIN_CHARS = 300
 #: Longest symbol that is joined in each round; a joined one has at most twice that.
@@ -264,22 +264,23 @@ def shared_runs(df: DataFrame, *, min_chars: int = MIN_CHARS) -> tuple[DataFrame
     if min_chars < MIN_CHARS:
         raise ValueError(f"spans under {MIN_CHARS} characters need other bounds")
     texts = df.where(f"doc is not null and length(text) >= {min_chars}").select("doc", "text")
-    classes = checkpoint(copy_classes(texts))
+    classes = stored(copy_classes(texts))
     extra = small_or_shuffled(classes.where("doc <> rep").select("doc"))
     single = texts.join(extra, "doc", "left_anti")
-    marks = spread(single).mapInArrow(_emit, "name long, doc long, pos int")
-    # names of one document fall away before any pair is made; one shuffle, and the symbols are made once
-    same = Window.partitionBy("name")
-    both = checkpoint(marks.withColumn("lo", F.min("doc").over(same)).withColumn("hi", F.max("doc").over(same)).where("lo < hi").drop("lo", "hi"))
+    marks = stored(spread(single).mapInArrow(_emit, "name long, doc long, pos int"))
+    # names of one document fall away before any pair is made; they are counted where they are before they move
+    names = marks.groupBy("name").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("name")
+    both = stored(marks.join(small_or_shuffled(stored(names)), "name", "left_semi"))
     a, b = both.select("name", F.col("doc").alias("doc_a"), F.col("pos").alias("pos_a")), both.select("name", F.col("doc").alias("doc_b"), F.col("pos").alias("pos_b"))
-    pairs = checkpoint(a.join(b, "name").where("doc_a < doc_b").groupBy("doc_a", "doc_b", (F.col("pos_a") - F.col("pos_b")).alias("shift")).agg(F.collect_set("pos_a").alias("pos")))
+    # a name that very many documents share is cut by the join itself, as any skewed key
+    pairs = stored(a.join(b, "name").where("doc_a < doc_b").groupBy("doc_a", "doc_b", (F.col("pos_a") - F.col("pos_b")).alias("shift")).agg(F.collect_set("pos_a").alias("pos")))
     met = pairs.select(F.col("doc_a").alias("doc")).unionByName(pairs.select(F.col("doc_b").alias("doc"))).distinct()
-    met = small_or_shuffled(checkpoint(met))
+    met = small_or_shuffled(stored(met))
     held = single.join(met, "doc", "left_semi")
     ta, tb = held.select(F.col("doc").alias("doc_a"), F.col("text").alias("x")), held.select(F.col("doc").alias("doc_b"), F.col("text").alias("y"))
     full = pairs.join(ta, "doc_a").join(tb, "doc_b").select("doc_a", "doc_b", "shift", "pos", "x", "y")
     runs = full.mapInArrow(_verify(min_chars), "doc_a long, doc_b long, from_a long, from_b long, n_chars long").distinct()
-    return checkpoint(runs), classes
+    return stored(runs), classes
 
 
 def shared_pairs(df: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
