@@ -1,50 +1,57 @@
 """Personal information inside free text, by anchor expansion.
 
-One Aho-Corasick pass over the lower-cased text finds anchors: at-signs and
-their spellings, words that announce a number or a name, street words, given
-names.  From each anchor a small deterministic parser grows outward, validates
-what it finds and fixes its borders.  Digits are their own anchors; a run of
-them is parsed by its grouping and by the announcing words before it.
-Overlapping finds are settled in the order of KINDS; what is left is replaced
-by a typed placeholder.
+Two Aho-Corasick passes over the lower-cased text find the anchors: words that
+announce a number, a street or a name, street words and given names in the one;
+at-signs and their spellings, schemes of addresses, and digits in the other.
+From each anchor a small deterministic parser grows outward, validates what it
+finds (grouping, announcing words before it, check digits) and fixes its
+borders.  Nothing is searched for away from an anchor.  Overlapping finds are
+settled in the order of KINDS; what is left is replaced by a typed placeholder.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "id_number", "phone", "address", "name")
+KINDS = ("account", "email", "id_number", "phone", "address", "name")
 
 # fixed values: cue words, by what they announce
 AT_SIGNS = ("@", "(at)", "[at]", "{at}")
+SCHEMES = ("://", "www.")
 ID_CUES = ("ssn", "social security", "my social", "mrn", "patient number", "patient no", "patient id", "member id", "member no", "member number", "nhs no", "nhs number", "insurance no", "insurance number", "insurance id", "medical record", "record number", "national id", "passport", "policy number", "policy no", "tax id", "hospital number", "licence number", "license number")
-PHONE_CUES = ("call", "phone", "tel", "text me", "my number", "front desk", "mobile", "cell", "fax", "whatsapp", "ring")
+ACCOUNT_CUES = ("iban", "account number", "account no", "acct", "acct no", "account", "sort code", "routing number", "card number", "card no", "credit card", "debit card")
+PHONE_CUES = ("call", "phone", "tel", "telephone", "text me", "my number", "mobile", "cell", "fax", "whatsapp", "ring", "dial", "reach me at", "desk", "reception", "helpline", "hotline", "switchboard")
 OTHER_CUES = ("pmid", "doi", "isbn", "issn", "trial", "lot", "batch", "bill", "ref", "code", "firmware", "version", "invoice", "order", "serial", "model", "nct", "build", "took")
-STREETS = ("street", "st", "road", "rd", "avenue", "ave", "lane", "ln", "drive", "dr", "close", "court", "ct", "boulevard", "blvd", "way", "terrace", "ter", "place", "pl", "square", "sq", "crescent", "cres", "grove", "gardens", "row", "hill", "parkway", "pkwy", "highway", "hwy")
+STREETS = ("street", "st", "road", "rd", "avenue", "ave", "lane", "ln", "drive", "dr", "close", "court", "ct", "boulevard", "blvd", "way", "terrace", "ter", "place", "pl", "square", "sq", "crescent", "cres", "grove", "gardens", "row", "hill", "parkway", "pkwy", "highway", "hwy", "hollow", "circle", "cir", "trail", "trl", "loop", "walk", "mews", "alley", "crossing", "ridge", "heights", "pike", "bend")
 STREET_STARTS = ("rue", "avenue", "boulevard", "via", "calle", "plaza", "rua", "impasse", "chemin")
-STREET_ENDS = ("straße", "strasse", "weg", "platz", "gasse", "allee", "straat", "laan")
-NAME_BEFORE = ("my name is", "name:", "ask for", "signed,", "signed", "dr", "dr.", "mr", "mr.", "mrs", "mrs.", "ms", "ms.", "prof", "prof.", "doctor", "professor", "nurse", "neighbour", "neighbor", "sincerely,", "regards,", "called me", "i am called")
-NAME_AFTER = ("at reception", "runs that study", "runs the study", "was the first who", "had the same thing", "knows the drill")
+STREET_ENDS = ("straße", "strasse", "weg", "platz", "gasse", "allee", "straat", "laan", "str")
+FLATS = ("flat", "apt", "apartment", "unit", "suite")
+NAME_BEFORE = ("my name is", "name:", "ask for", "signed,", "signed", "dr", "dr.", "mr", "mr.", "mrs", "mrs.", "ms", "ms.", "prof", "prof.", "doctor", "professor", "nurse", "neighbour", "neighbor", "sincerely,", "regards,", "called me", "i am called", "down as", "listed as", "registered as")
 NOT_NAMES = frozenset("the a an my your his her our their this that it i he she we they you and or but if so at in on for with to of as by from when while since until after before is are was were be been do does did has have had will would can could should may might must not no yes who what which where why how one two three four five six seven eight nine ten monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december today tomorrow gp clinic study trial form everyone someone anyone nobody both each some any all more less most least well still just only even then there here now again google internet".split())
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+'-]*[A-Za-z0-9_%+-]$")
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+'-")
 _DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _SPELT = re.compile(r"\s*[A-Za-z0-9-]+(?:\s*[(\[{]\s*dot\s*[)\]}]\s*[A-Za-z0-9-]+)+|\s*" + _DOMAIN.pattern)
-_SPELT_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\s*$")
-_DIGITS = re.compile(r"(?<![\w.,/=&?-])(?:\+\s?)?\(?\d[\d\s().\-/]{3,}\d(?![\d=])|(?<![\w=])[A-Za-z]{2,3} ?\d{4}[- ]?\d{3,4}(?: \d{2})?(?!\w)")
+_DIGITS = re.compile(r"(?<![\w.,/=&?-])(?:\+\s?)?\(?\d[\d\s().\-/]{3,}\d(?![\d=])")
 #: What parts two numbers: line breaks, tabs, three blanks.
 _WIDE_GAP = re.compile(r"\s*[^\S \xa0\u2000-\u200a\u202f\u205f\u3000\u1680]\s*|\s{3,}")
 _LIST_MARK = re.compile(r"\d{1,3}[.)]\s+(?=[(\d])")
 _GROUPED = re.compile(r"(?:1[-. ])?\(?\d{3}\)?[-. ]\d{3}[-.]\d{4}")
 _SSN = re.compile(r"(?<!\d)\d{3}([- ])\d{2}\1\d{4}(?!\d)")
 _CODED = re.compile(r"(?<!\w)(?:[A-Z]{2,3} ?\d{4} \d{4} \d{2}|[A-Z]{2,3} ?\d{4}[- ]?\d{4}|[A-Z]{2}\d{7})(?!\w)")
+_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+_CARD = re.compile(r"(?<![\w.-])[3-6]\d{3}(?:([ -]?)\d{4}(?:\1\d{4}){2}(?:\1?\d{1,3})?|([ -]?)\d{6}\2\d{4,5})(?![\w-])")
+_ACCOUNT = re.compile(r"\W{0,3}(?:(?:is|was|no|number|nr|ending)\b\W{0,3}){0,2}(\d[\d -]{4,20}\d)(?![\w])", re.I)
 _ID_TOKEN = re.compile(r"\W{0,3}(?:(?:is|was|no|number|nr|id)\b\W{0,3}){0,2}([A-Za-z]{0,3} ?\d[\dA-Za-z]*(?:[ /.-]\d+)*)", re.I)
+#: What may stand between an announcing word and its number.
+_TO_OTHER = re.compile(r"\W{0,3}(?:no\.?|number|is|#)?\W{0,3}")
+_TO_ID = re.compile(r"\W*(?:is|no\.?|number)?\W*")
 _SPACE = r"[^\S\n]+"
 _HOUSE = r"(?<![\w.,/-])\d{1,5}[a-zA-Z]?"
 _FLAT = rf"(?:(?i:flat|apt\.?|apartment|unit|suite){_SPACE}\d+[a-zA-Z]?,?\s+)?"
@@ -55,78 +62,126 @@ _ANY_STREET = "|".join(STREETS)
 _PROPER_STREET = re.compile(rf"{_FLAT}{_HOUSE}{_SPACE}(?:{_PROPER}{_SPACE}){{1,4}}(?i:{_ANY_STREET})\b\.?{_UNIT}{_TOWN}")
 _LOWER_STREET = re.compile(rf"(?i:{_FLAT}){_HOUSE}{_SPACE}(?:[a-z][a-z'’-]+{_SPACE}){{1,3}}(?:{_ANY_STREET})\b")
 _FOREIGN_STREET = re.compile(rf"{_HOUSE},?{_SPACE}(?:bis{_SPACE})?(?i:{'|'.join(STREET_STARTS)}){_SPACE}(?:(?:de|des|du|della|de la|del|la|le|l'|da|do){_SPACE})?{_PROPER}(?:{_SPACE}{_PROPER}){{0,3}}{_TOWN}")
-_GERMAN_STREET = re.compile(rf"\b[A-ZÄÖÜ][\wäöüß-]*(?i:{'|'.join(STREET_ENDS)}|str\.){_SPACE}\d{{1,4}}[a-z]?\b")
+_GERMAN_STREET = re.compile(rf"\b[A-ZÄÖÜ][\wäöüß-]*(?i:{'|'.join(STREET_ENDS)}\.?){_SPACE}\d{{1,4}}[a-z]?\b")
 _SMALL = frozenset("of the a an to and or is are was were in on at for with without after before into mg mcg ml iu drops scoops capsules days weeks months hours years minutes mornings cycles flares sessions visits weekends steps times percent blocks miles km more less than that this my your down per".split())
+_NUMBERED = re.compile(r"^(?:(?:flat|apt\.?|apartment|unit|suite)\s+\d+[a-z]?,?\s+)?\d+[a-z]?\b")
 _APART = re.compile(r"[\W_]")
-_FIGURES = re.compile(r"\d")
-_LONG_FIGURES = re.compile(r"\d[\d\s().\-/]{3,}\d")
+_INITIALS = re.compile(r"(?:[^\W\d_a-z]\.[^\S\n]?){1,3}(?=[^\W\d_])")
 _NAME_TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 
+class Anchors:
+    """Places of the anchors of a text by kind, in order."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, list[tuple[int, int, str]]] = {}
+
+    def add(self, kind: str, s: int, e: int, cue: str) -> None:
+        self.at.setdefault(kind, []).append((s, e, cue))
+
+    def of(self, kind: str) -> list[tuple[int, int, str]]:
+        return self.at.get(kind, [])
+
+
 class Finder:
-    """The automaton and parsers; ``given`` are given names in lower case."""
+    """The automata and parsers; ``given`` are given names in lower case."""
 
     def __init__(self, given: frozenset[str], ordinary: frozenset[str]) -> None:
         self.given, self.ordinary = given, ordinary
         cues: dict[str, list[tuple[str, str]]] = {}
-        for kind, listed in (("id", ID_CUES), ("street", STREETS), ("street", STREET_STARTS), ("before", NAME_BEFORE), ("after", NAME_AFTER), ("given", given)):
-            for c in listed:
+        listed = (("id", ID_CUES), ("account", ACCOUNT_CUES), ("phone", PHONE_CUES), ("other", OTHER_CUES), ("street", (*STREETS, *STREET_STARTS)), ("flat", FLATS), ("before", NAME_BEFORE), ("given", given))
+        for kind, words in listed:
+            for c in words:
                 # words are met with a space on either side in the text whose other characters are spaces
-                entry = cues.setdefault(_APART.sub(" ", c).strip(), [])
+                entry = cues.setdefault(f" {_APART.sub(' ', c).strip()} ", [])
                 if (kind, c) not in entry:
                     entry.append((kind, c))
-        a = ahocorasick.Automaton()
+        for c in STREET_ENDS:
+            cues.setdefault(f"{c} ", []).append(("ends", c))
+        self.words = ahocorasick.Automaton()
         for c, entry in cues.items():
-            a.add_word(f" {c} ", (len(c), entry))
-        a.make_automaton()
-        signs = ahocorasick.Automaton()
-        for c in AT_SIGNS:
-            signs.add_word(c, len(c))
-        signs.make_automaton()
-        self.automaton, self.signs = a, signs
+            self.words.add_word(c, (len(c.strip()), entry))
+        self.words.make_automaton()
+        self.signs = ahocorasick.Automaton()
+        for kind, listed_ in (("at", AT_SIGNS), ("url", SCHEMES), ("digit", "0123456789")):
+            for c in listed_:
+                self.signs.add_word(c, (len(c), kind))
+        self.signs.make_automaton()
+
+    def anchors(self, low: str) -> Anchors:
+        out = Anchors()
+        for end, (size, entry) in self.words.iter(f" {_APART.sub(' ', low)} "):
+            for kind, cue in entry:
+                out.add(kind, end - 1 - size, end - 1, cue)
+        last = -2
+        for end, (size, kind) in self.signs.iter(low):
+            if kind != "digit":
+                out.add(kind, end - size + 1, end + 1, kind)
+            else:
+                if end != last + 1:  # the first of a run of digits
+                    out.add("digit", end, end + 1, kind)
+                last = end
+        return out
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) of what was found, in order, without overlaps."""
         low = text.lower()
         if len(low) != len(text):  # a few letters grow when lower-cased; offsets have to stay
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+        at = self.anchors(low)
         hits: list[tuple[int, int, str]] = []
-        if "@" in low or "at)" in low or "at]" in low or "at}" in low:
-            for end, size in self.signs.iter(low):
-                hits += self._email(text, end - size + 1, end + 1)
-        streets = False
-        for end, (size, entry) in self.automaton.iter(f" {_APART.sub(' ', low)} "):
-            e = end - 1
-            s = e - size
-            for kind, cue in entry:
-                if kind == "street":
-                    streets = True
-                elif kind == "given":
-                    hits += self._given(text, s, e)
-                elif kind == "id":
-                    hits += self._announced(text, e)
-                elif kind == "after":
-                    hits += self._before_cue(text, s)
-                elif cue[-1] not in ":," or text[e : e + 1] == cue[-1]:
-                    hits += self._after_cue(text, cue, e)
-        if _FIGURES.search(text):
-            if streets:
-                hits += self._streets(text)
-            if any(x in low for x in (*STREET_ENDS, "str.")):
-                hits += [(m.start(), m.end(), "address") for m in _GERMAN_STREET.finditer(text)]
-            if _LONG_FIGURES.search(text):
-                hits += self._numbers(text, low)
+        for s, e, _ in at.of("at"):
+            hits += self._email(text, s, e)
+        links = [self._link(text, s) for s, _, _ in at.of("url")]
+        for _, e, _ in at.of("id"):
+            hits += self._announced(text, e)
+        for _, e, _ in at.of("account"):
+            m = _ACCOUNT.match(text, e)
+            hits += [(m.start(1), m.end(1), "account")] if m else []
+        figures = [d for d, _, _ in at.of("digit") if not any(a <= d < b for a, b in links)]
+        if figures:
+            hits += self._numbers(text, low, figures, at)
+            if at.of("street"):
+                hits += self._streets(text, low, figures, at)
+            for s, _, _ in at.of("ends"):
+                while s > 0 and (text[s - 1].isalnum() or text[s - 1] == "-"):
+                    s -= 1
+                m = _GERMAN_STREET.match(text, s)
+                hits += [(m.start(), m.end(), "address")] if m else []
+        names = [h for s, e, _ in at.of("given") for h in self._given(text, s, e)]
+        for _, e, cue in at.of("before"):
+            if cue[-1] not in ":," or text[e : e + 1] == cue[-1]:
+                names += self._after_cue(text, cue, e)
+        names = [h for h in names if not any(a < h[1] and h[0] < b for a, b in links)]
+        hits += names + self._again(text, names)
         return settle(hits) if hits else hits
 
-    # e-mail -------------------------------------------------------------
+    # addresses of mail and pages ------------------------------------------
     def _email(self, text: str, s: int, e: int) -> list[tuple[int, int, str]]:
+        k = s
         if text[s] == "@":
-            left, right = _LOCAL.search(text[max(0, s - 64) : s]), _DOMAIN.match(text, e)
+            right = _DOMAIN.match(text, e)
         else:
-            left, right = _SPELT_LOCAL.search(text[max(0, s - 64) : s]), _SPELT.match(text, e)
-        if not left or not right:
+            right = _SPELT.match(text, e)
+            while k > 0 and text[k - 1].isspace():
+                k -= 1
+        end = k
+        while k > 0 and text[k - 1] in _LOCAL:
+            k -= 1
+        if not right or k == end or text[end - 1] in ".'":
             return []
-        return [(max(0, s - 64) + left.start(), right.end(), "email")]
+        if text[k] == "'":
+            k += 1
+        return [(k, right.end(), "email")] if k < end else []
+
+    def _link(self, text: str, s: int) -> tuple[int, int]:
+        """The address around a scheme: to the next blank or bracket."""
+        a, b = s, s
+        while a > 0 and text[a - 1].isalpha():
+            a -= 1
+        while b < len(text) and not text[b].isspace() and text[b] not in "<>\"":
+            b += 1
+        return a, b
 
     # numbers ------------------------------------------------------------
     def _announced(self, text: str, e: int) -> list[tuple[int, int, str]]:
@@ -136,30 +191,64 @@ class Finder:
             return []
         return [(m.start(1), m.end(1), "id_number")]
 
-    def _numbers(self, text: str, low: str) -> list[tuple[int, int, str]]:
-        out = [(m.start(), m.end(), "id_number") for m in _SSN.finditer(text)]
-        for m in _CODED.finditer(text):
-            if not re.search(r"(?:" + "|".join(OTHER_CUES) + r")\W{0,3}(?:no\.?|number|is|#)?\W{0,3}$", low[max(0, m.start() - 24) : m.start()]):
-                out.append((m.start(), m.end(), "id_number"))
-        for m in _DIGITS.finditer(text):
-            if m.group()[0].isalpha():
+    def _numbers(self, text: str, low: str, figures: list[int], at: Anchors) -> list[tuple[int, int, str]]:
+        out: list[tuple[int, int, str]] = []
+
+        def told(s: int, kind: str, between: re.Pattern) -> bool:
+            """Whether a cue of the kind stands before a place, with no more between them than the pattern allows."""
+            return any(s - 40 <= e <= s and between.fullmatch(low, e, s) for _, e, _ in at.of(kind))
+
+        def called(s: int) -> bool:
+            return any(s - 22 <= a and e <= s for a, e, _ in at.of("phone"))
+
+        upto = 0
+        for d in figures:
+            m = _SSN.match(text, d)
+            if m:
+                out.append((d, m.end(), "id_number"))
+            k = d - (text[d - 1 : d] == " ")
+            while k > 0 and d - k < 5 and "A" <= text[k - 1] <= "Z":
+                k -= 1
+            if k < d and text[k] != " ":
+                m = _CODED.match(text, k)
+                if m and m.end() > d and not told(k, "other", _TO_OTHER):
+                    out.append((k, m.end(), "id_number"))
+                m = _IBAN.match(text, k)
+                if m and (iban_holds(m.group()) or told(k, "account", _TO_ID)):
+                    out.append((k, m.end(), "account"))
+            m = _CARD.match(text, d)
+            if m and (luhn_holds(m.group()) or told(d, "account", _TO_ID)):
+                out.append((d, m.end(), "account"))
+            if d < upto:
                 continue
-            at = m.start()
-            for gap in [*_WIDE_GAP.finditer(text, m.start(), m.end()), None]:
-                out += [(s, e, "phone") for s, e in phones(text, low, at, gap.start() if gap else m.end())]
-                at = gap.end() if gap else at
+            # the run of figures may begin with a bracket or a plus sign
+            for s in range(max(0, d - 3), d + 1):
+                m = _DIGITS.match(text, s) if text[s] in "+(" or s == d else None
+                if m:
+                    begin, upto = s, m.end()
+                    for gap in [*_WIDE_GAP.finditer(text, s, upto), None]:
+                        stop = gap.start() if gap else upto
+                        out += [(a, b, "phone") for a, b in phones(text, begin, stop, called, lambda p: told(p, "other", _TO_OTHER) or told(p, "id", _TO_ID))]
+                        begin = gap.end() if gap else begin
+                    break
         return out
 
     # addresses ----------------------------------------------------------
-    def _streets(self, text: str) -> list[tuple[int, int, str]]:
+    def _streets(self, text: str, low: str, figures: list[int], at: Anchors) -> list[tuple[int, int, str]]:
+        """House numbers (or flats) with a street word ahead of them."""
         out = []
-        for p in (_PROPER_STREET, _FOREIGN_STREET):
-            out += [(m.start(), m.end(), "address") for m in p.finditer(text)]
-        for m in _LOWER_STREET.finditer(text.lower() if len(text.lower()) == len(text) else text):
-            inner = re.findall(r"[a-z'’-]+", re.sub(r"^(?:flat|apt|unit|suite)\s+\d+[a-z]?,?\s+", "", m.group()))
-            inner = inner[1:] if inner and re.match(r"\d+[a-z]", re.sub(r"^(?:flat|apt|unit|suite)\s+\d+[a-z]?,?\s+", "", m.group())) else inner
-            if inner and not any(w in _SMALL for w in inner):
-                out.append((m.start(), m.end(), "address"))
+        ways = [s for s, _, _ in at.of("street")]
+        for d in [*figures, *(s for s, _, _ in at.of("flat"))]:
+            if not any(d < w <= d + 140 for w in ways):
+                continue
+            for p in (_PROPER_STREET, _FOREIGN_STREET):
+                m = p.match(text, d)
+                out += [(d, m.end(), "address")] if m else []
+            m = _LOWER_STREET.match(low, d)
+            if m:
+                inner = re.findall(r"[a-z'’-]+", _NUMBERED.sub("", m.group()))
+                if inner and not any(w in _SMALL for w in inner):
+                    out.append((d, m.end(), "address"))
         return out
 
     # names --------------------------------------------------------------
@@ -171,7 +260,8 @@ class Finder:
 
     def _grow(self, text: str, at: int, lower_too: bool) -> tuple[int, int] | None:
         """One to three name words from ``at`` on; in lower case only where the cue allows it."""
-        end, n = at, 0
+        first = _INITIALS.match(text, at)
+        end, n = first.end() if first else at, 0
         start = None
         while n < 3:
             m = _NAME_TOKEN.match(text, end + (0 if n == 0 else 1)) if n == 0 or (end < len(text) and text[end] in "  ") else None
@@ -185,7 +275,7 @@ class Finder:
                 break
             start = m.start() if start is None else start
             end, n = m.end(), n + 1
-        return (start, end) if start is not None else None
+        return (first.start() if first else start, end) if start is not None else None
 
     def _after_cue(self, text: str, cue: str, e: int) -> list[tuple[int, int, str]]:
         m = re.compile(r"[^\S\n]*[:,]?[^\S\n]*").match(text, e)
@@ -204,21 +294,19 @@ class Finder:
         if free:  # the name ends before a verb or conjunction; two words at most
             words = [x.end() for x in _NAME_TOKEN.finditer(text, s, t)]
             t = words[min(1, len(words) - 1)]
-        first = _NAME_TOKEN.match(text, s).group()
-        if cue in ("ask for", "signed", "nurse", "neighbour", "neighbor", "called me", "doctor", "professor") and first.lower() not in self.given and not first[0].isupper():
+        first = _NAME_TOKEN.match(text, _NAME_TOKEN.search(text, s).start()).group()
+        given = _NAME_TOKEN.match(text, t + 2) if first.isupper() and text[t : t + 2] == ", " else None
+        if given and given.group().isupper() and self._namelike(given.group()):  # surname first
+            t = given.end()
+        if cue in ("ask for", "down as", "listed as", "registered as", "signed", "nurse", "neighbour", "neighbor", "called me", "doctor", "professor") and first.lower() not in self.given and not first[0].isupper():
             return []
         return [(s, t, "name")]
 
-    def _before_cue(self, text: str, s: int) -> list[tuple[int, int, str]]:
-        m = re.search(r"((?:[^\W\d_][\w'’-]+[^\S\n]+){1,2})$", text[max(0, s - 60) : s])
-        if not m:
-            return []
-        base = max(0, s - 60) + m.start(1)
-        found = [x for x in _NAME_TOKEN.finditer(text, base, s)]
-        kept = [x for x in found if x.group()[0].isupper() and (self._namelike(x.group()) or x.group().lower() in self.given)]
-        if not kept or kept[-1] is not found[-1]:
-            return []
-        return [(kept[0].start(), kept[-1].end(), "name")]
+    def _again(self, text: str, names: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+        """Other places of the surnames of a text's names."""
+        known = {m.group() for s, e, _ in names for m in _NAME_TOKEN.finditer(text, s, e)}
+        sure = {w for w in known if len(w) > 3 and w[0].isupper() and not w.isupper() and w.lower() not in self.given and self._namelike(w)}
+        return [(m.start(), m.end(), "name") for w in sure for m in re.finditer(rf"(?<![\w@.-]){re.escape(w)}(?![\w@-])", text)]
 
     def _given(self, text: str, s: int, e: int) -> list[tuple[int, int, str]]:
         """A listed given name; one that is also a word needs a surname beside it."""
@@ -253,18 +341,25 @@ def surname_like(w: str) -> bool:
     return len(w) > 4 and w.isalpha()
 
 
-def phone_like(raw: str, digits: str, before: str) -> bool:
+def iban_holds(raw: str) -> bool:
+    """Whether the check digits of an international account number are right."""
+    c = raw.replace(" ", "")
+    return 15 <= len(c) <= 34 and int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 == 1
+
+
+def luhn_holds(raw: str) -> bool:
+    """Whether the check digit of a card number is right."""
+    d = [int(c) for c in raw if c.isdigit()]
+    return 13 <= len(d) <= 19 and sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(reversed(d))) % 10 == 0
+
+
+def phone_like(raw: str, digits: str, called: bool) -> bool:
     """Whether a run of digits is grouped, or announced, as a telephone number.
 
     An international number starts with + and has 9 to 15 digits.  Others have
     10 or 11: three-three-four with a trunk 1 or without, or a leading 0 and
-    two to four groups.  Without groups, or where another word announces the
-    number, a telephone word has to stand before it.
+    two to four groups.  Without groups a telephone word has to stand before it.
     """
-    called = announced(before)
-    other = re.search(r"\b(?:" + "|".join(OTHER_CUES) + r")\b\W{0,3}(?:no\.?|number|is|#)?\W{0,3}$", before)
-    if other or re.search(r"(?:" + "|".join(ID_CUES) + r")\W*(?:is|no\.?|number)?\W*$", before):
-        return False
     if not 9 <= len(digits) <= 15 or re.search(r"\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}|/", raw):
         return False
     groups = re.findall(r"\d+", raw)
@@ -277,12 +372,13 @@ def phone_like(raw: str, digits: str, before: str) -> bool:
     return called and len(digits) in (10, 11) and len(groups) <= 5
 
 
-def phones(text: str, low: str, s: int, e: int) -> list[tuple[int, int]]:
+def phones(text: str, s: int, e: int, called: Callable[[int], bool], other: Callable[[int], bool]) -> list[tuple[int, int]]:
     """Telephone numbers in a run of digits without wide gaps.
 
     If the whole run is none, the longest leading groups that are one count; as
     blanks may part figures of any kind, they have to be grouped by more than
-    blanks or be announced.  What follows a number is looked at again.
+    blanks or be announced.  A number that another word announces is none.  What
+    follows a number is looked at again.
     """
     out = []
     while s < e:
@@ -290,13 +386,14 @@ def phones(text: str, low: str, s: int, e: int) -> list[tuple[int, int]]:
             s += 1
         mark = _LIST_MARK.match(text, s, e)
         s = mark.end() if mark else s
-        before = low[max(0, s - 28) : s]
+        if other(s):
+            break
         ends = [e, *(x.start() for x in reversed(list(re.compile(r"\s+").finditer(text, s, e))))]
         for k in ends:
             raw = text[s:k].rstrip(" .-/(")
-            if not phone_like(raw, "".join(c for c in raw if c.isdigit()), before):
+            if not phone_like(raw, "".join(c for c in raw if c.isdigit()), called(s)):
                 continue
-            if k == e or _GROUPED.fullmatch(raw) or announced(before):
+            if k == e or _GROUPED.fullmatch(raw) or called(s):
                 out.append((s, s + len(raw)))
                 s += len(raw)
                 break
@@ -305,11 +402,6 @@ def phones(text: str, low: str, s: int, e: int) -> list[tuple[int, int]]:
     return out
 
 
-def announced(before: str) -> bool:
-    """Whether a telephone word stands before a number."""
-    return any(re.search(rf"\b{c}\b", before[-22:]) for c in PHONE_CUES)
-
-
 def settle(hits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Non-overlapping finds: earlier kinds of KINDS win, then longer ones."""
     out: list[tuple[int, int, str]] = []
@@ -333,7 +425,7 @@ def redact(text: str | None, found: list[tuple[int, int, str]]) -> str | None:
 _FIELDS = [("table_name", pa.string()), ("row_key", pa.string()), ("redacted", pa.string()), ("found", pa.list_(pa.struct([("start_char", pa.int64()), ("end_char", pa.int64()), ("pii_kind", pa.string())])))]
 
 
-def find_personal_data(df: DataFrame, given_names: DataFrame, common_words: DataFrame, *, most_names: int = 1_000_000, with_text: bool = True) -> DataFrame:
+def find_personal_data(df: DataFrame, given_names: DataFrame, common_words: DataFrame, *, most_names: int = 1_000_000) -> DataFrame:
     """(table_name, row_key, redacted, found) of every row of (table_name, row_key, text).
 
     ``given_names``: (given_name), ``common_words``: (word); both are lists of
@@ -355,7 +447,7 @@ def find_personal_data(df: DataFrame, given_names: DataFrame, common_words: Data
         for b in batches:
             texts = b.column(2).to_pylist()
             found = [finder.find(t) if t else [] for t in texts]
-            clean = [redact(t, f) for t, f in zip(texts, found, strict=True)] if with_text else [None] * len(texts)
+            clean = [redact(t, f) for t, f in zip(texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(clean, pa.string()), pa.array([[{"start_char": s, "end_char": e, "pii_kind": k} for s, e, k in f] for f in found], _FIELDS[3][1])], names=[n for n, _ in _FIELDS])
 
     return df.select("table_name", "row_key", "text").mapInArrow(run, "table_name string, row_key string, redacted string, found array<struct<start_char: long, end_char: long, pii_kind: string>>")
