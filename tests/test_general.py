@@ -4,10 +4,12 @@ import datetime as dt
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from threadloom.operators.hierarchy import ancestor_pairs, descendant_counts, resolve_hierarchy
 from threadloom.operators.references import comment_references, orphan_references, probe, references_by_month
+from threadloom.runtime import stored
 
 T = [dt.datetime(2024, 1, d) for d in range(1, 20)]
 COMMENTS = "id string, parent_id string, link_id string, created_utc long, ingested_at timestamp, key string, rng int"
@@ -72,7 +74,8 @@ def brute(parents):
     return out
 
 
-def test_hierarchy_against_brute_force(spark):
+@pytest.mark.parametrize(("levels", "batch"), [(8, 4), (512, 8), (3, 1)])
+def test_hierarchy_against_brute_force(spark, levels, batch):
     rnd = random.Random(5)
     parents = {"r0": None, "r1": "  ", "r2": "t3_x", "r3": "t1_absent", "s": "t1_s", "u": "t1_v", "v": "t1_w", "w": "t1_u", "below": "t1_u"}
     for i in range(150):
@@ -82,7 +85,7 @@ def test_hierarchy_against_brute_force(spark):
     rows = [(k, v, "x") for k, v in parents.items()] + [("n7", parents["n7"], "x"), (None, "t3_x", "x")]
     nodes = spark.createDataFrame(rows, "id string, parent_id string, anc string")
     want = brute(parents)
-    r = resolve_hierarchy(nodes, with_path=True)
+    r = stored(resolve_hierarchy(nodes, levels=levels, batch=batch, with_path=True))
     got = {x.id: (x.root_id, x.node_depth, x.path) for x in r.collect()}
     assert got == want
     pairs = {(x.ancestor_id, x.id, x.distance) for x in ancestor_pairs(r).collect()}

@@ -1,11 +1,12 @@
 """Parent-child rows to full hierarchies.
 
-The first levels are frontier joins from the roots, one level a join.  Most
-nodes end there.  A thread may still be hundreds of levels deep, and one Spark
-job a level would be all overhead; so the nodes below the frontier carry an
+Frontier joins from the roots extend paths and depths level by level, several
+levels a job; each job reads only the nodes that none has reached yet.  A level
+that finds nothing ends the search: what is left lies on or below a cycle.  A
+thread may be hundreds of levels deep, and a join a level would be all overhead
+for its last few nodes; so after ``levels`` levels the nodes left carry an
 ancestor pair (node, ancestor, distance) that doubles each round and closes as
 soon as its ancestor is resolved: the rounds are the logarithm of the depth.
-What no round reaches lies on or below a cycle.
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.runtime import checkpoint, shuffle_partitions
+from threadloom.runtime import shuffle_partitions, stored
 
 CYCLE = "cycle"
 
 
-def resolve_hierarchy(nodes: DataFrame, *, prefix: str = "t1_", levels: int = 3, with_path: bool = False) -> DataFrame:
+def resolve_hierarchy(nodes: DataFrame, *, prefix: str = "t1_", levels: int = 512, batch: int = 8, with_path: bool = False) -> DataFrame:
     """Root, depth and (optionally) path of every node.
 
     ``nodes``: (id, parent_id).  A parent is followed while it is exactly
@@ -35,7 +36,7 @@ def resolve_hierarchy(nodes: DataFrame, *, prefix: str = "t1_", levels: int = 3,
     one = nodes.where("id is not null").groupBy("id").agg(F.min("parent_id").alias("parent_id"))
     keyed = one.withColumn("pid", F.when(F.col("parent_id").startswith(prefix), F.expr(f"substring(parent_id, {len(prefix) + 1})")))
     ids = one.select(F.col("id").alias("pid"), F.lit(True).alias("known"))
-    edges = checkpoint(keyed.join(ids, "pid", "left").select("id", "parent_id", F.when(F.col("known"), F.col("pid")).alias("pid")))
+    edges = stored(keyed.join(ids, "pid", "left").select("id", "parent_id", F.when(F.col("known"), F.col("pid")).alias("pid")))
 
     blank = F.coalesce(F.col("parent_id"), F.lit("")).rlike(r"^(?U)[\s\x1c-\x1f]*$")
     none = F.lit(None).cast("array<string>")
@@ -48,25 +49,34 @@ def resolve_hierarchy(nodes: DataFrame, *, prefix: str = "t1_", levels: int = 3,
     )
     below = edges.where("pid is not null").select("id", F.col("pid").alias("anc"), F.lit(1).cast("long").alias("dist"), seg.alias("seg"))
 
-    def step(frontier: DataFrame) -> DataFrame:
+    def step(open_: DataFrame, frontier: DataFrame) -> DataFrame:
         f = frontier.select(F.col("id").alias("anc"), "root_id", "node_depth", "path")
-        return below.join(f, "anc").select("id", "root_id", (F.col("node_depth") + 1).alias("node_depth"), F.concat("path", "seg").alias("path"))
+        return open_.join(f, "anc").select("id", "root_id", (F.col("node_depth") + 1).alias("node_depth"), F.concat("path", "seg").alias("path"))
 
     tasks = shuffle_partitions(nodes.sparkSession)  # unions would add their tasks up
-    done = [top]
-    for _ in range(levels):
-        done.append(step(done[-1]))
-    reached = done[0]
-    for part in done[1:]:
-        reached = reached.unionByName(part)
-    solved = [checkpoint(reached.coalesce(tasks))]
-    open_ = checkpoint(below.join(solved[0].select("id"), "id", "left_anti").coalesce(tasks))
-    out = solved[0].withColumn("node_depth", F.col("node_depth").cast("int"))
-    if not open_.count():
-        return out
+    out, frontier, open_, done = None, top, below, 0
+    while True:
+        parts = [frontier] if out is None else []
+        for k in range(1, batch + 1):
+            frontier = step(open_, frontier)
+            parts.append(frontier.withColumn("level", F.lit(k)))
+        every = parts[0] if out is not None else parts[0].withColumn("level", F.lit(0))
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        reached = stored(every.coalesce(tasks))
+        out = reached.drop("level") if out is None else out.unionByName(reached.drop("level"))
+        frontier = reached.where(f"level = {batch}").drop("level")
+        done += batch
+        open_ = stored(open_.join(reached.select("id"), "id", "left_anti").coalesce(tasks))
+        moving = not frontier.isEmpty()
+        if done >= levels or not moving:
+            break
+    out = out.withColumn("node_depth", F.col("node_depth").cast("int"))
+    if not moving:  # nothing more is reached: what is open never ends
+        return out.unionByName(open_.select("id", F.lit(CYCLE).alias("root_id"), F.lit(-1).alias("node_depth"), none.alias("path")))
     # the level after the frontier closes the open nodes' chains; nothing above it is needed again
-    last = step(done[-1]).select("id", "root_id", "node_depth", "path")
-    state = checkpoint(open_.join(last, "id", "left").coalesce(tasks))
+    last = step(open_, frontier)
+    state = stored(open_.join(last, "id", "left").coalesce(tasks))
     before = -1
     while True:
         # a round closes every pair whose ancestor is closed; if it closed none, the open nodes only lead to each other
@@ -77,13 +87,15 @@ def resolve_hierarchy(nodes: DataFrame, *, prefix: str = "t1_", levels: int = 3,
         upper = state.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), F.col("seg").alias("seg2"), F.col("root_id").alias("root2"), F.col("node_depth").alias("depth2"), F.col("path").alias("path2"))
         moved = state.where("root_id is null").drop("root_id", "node_depth", "path").join(upper, "anc")
         hit = F.col("root2").isNotNull()
+        # a node that comes again above itself is on a cycle: closed, and its segment dropped
+        again = ~hit & ((F.col("anc2") == F.col("id")) | F.coalesce(F.array_contains("seg2", F.col("id")), F.lit(False)))
         moved = moved.select(
-            "id", F.when(hit, F.col("anc")).otherwise(F.col("anc2")).alias("anc"), F.when(hit, F.col("dist")).otherwise(F.col("dist") + F.col("dist2")).alias("dist"), F.when(hit, F.col("seg")).otherwise(F.concat("seg2", "seg")).alias("seg"),
-            F.col("root2").alias("root_id"), (F.col("depth2") + F.col("dist")).alias("node_depth"), F.concat("path2", "seg").alias("path"),
+            "id", F.when(hit, F.col("anc")).otherwise(F.col("anc2")).alias("anc"), F.when(hit, F.col("dist")).otherwise(F.col("dist") + F.col("dist2")).alias("dist"), F.when(hit | again, F.when(hit & (F.col("root2") != CYCLE), F.col("seg"))).otherwise(F.concat("seg2", "seg")).alias("seg"),
+            F.when(again, CYCLE).otherwise(F.col("root2")).alias("root_id"), F.when(again | (F.col("root2") == CYCLE), -1).otherwise(F.col("depth2") + F.col("dist")).alias("node_depth"), F.concat("path2", "seg").alias("path"),
         )
-        state = checkpoint(state.where("root_id is not null").select(*moved.columns).unionByName(moved).coalesce(tasks))
-    cyclic = F.col("root_id").isNull()
-    deep = state.select("id", F.when(cyclic, CYCLE).otherwise(F.col("root_id")).alias("root_id"), F.when(cyclic, -1).otherwise(F.col("node_depth")).cast("int").alias("node_depth"), "path")
+        state = stored(state.where("root_id is not null").select(*moved.columns).unionByName(moved).coalesce(tasks))
+    cyclic = F.col("root_id").isNull() | (F.col("node_depth") < 0)
+    deep = state.select("id", F.when(cyclic, CYCLE).otherwise(F.col("root_id")).alias("root_id"), F.when(cyclic, -1).otherwise(F.col("node_depth")).cast("int").alias("node_depth"), F.when(~cyclic, F.col("path")).alias("path"))
     return out.unionByName(deep)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators.hierarchy import ancestor_pairs, descendant_counts, resolve_hierarchy
 from threadloom.operators.references import comment_references, references_by_month
-from threadloom.runtime import checkpoint, table
+from threadloom.runtime import stored, table
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +35,7 @@ def p6_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return descendant_counts(checkpoint(_paths(spark, d))).withColumnRenamed("id", "comment_id")
+    return descendant_counts(stored(_paths(spark, d))).withColumnRenamed("id", "comment_id")
 
 
 def p6_descendant_pairs(spark: SparkSession, d: str) -> DataFrame:
