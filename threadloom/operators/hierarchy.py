@@ -19,7 +19,7 @@ from threadloom.runtime import shuffle_partitions, stored
 CYCLE = "cycle"
 
 
-def resolve_hierarchy(nodes: DataFrame, *, prefix: str = "t1_", levels: int = 512, batch: int = 8, with_path: bool = False) -> DataFrame:
+def resolve_hierarchy(nodes: DataFrame, *, prefix: str = "t1_", levels: int = 24, batch: int = 4, with_path: bool = False) -> DataFrame:
     """Root, depth and (optionally) path of every node.
 
     ``nodes``: (id, parent_id).  A parent is followed while it is exactly
