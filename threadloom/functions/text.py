@@ -13,6 +13,10 @@ WS = r"(?U)[\s\x1c-\x1f]"
 WS_SQL = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+#: Its characters one by one.
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -20,7 +24,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def ustrip(c: Column) -> Column:
     """Strip Unicode white space from both ends; null stays null."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def tokens(c: Column) -> Column:
@@ -64,3 +68,8 @@ def shorten(c: Column, n: int) -> Column:
     """Line breaks to spaces, cut at n characters, with an ellipsis if cut."""
     t = F.regexp_replace(c, "\n", " ")
     return F.when(F.length(t) > n, F.concat(F.substring(t, F.lit(1), F.lit(n)), F.lit("…"))).otherwise(t)
+
+
+def percent(part: Column, whole: Column, digits: int = 4) -> Column:
+    """part of whole in percent; 0 where there is no whole."""
+    return F.when(F.coalesce(whole, F.lit(0)) == 0, F.lit(0.0)).otherwise(F.round(part / whole * 100, digits))

@@ -40,16 +40,20 @@ THANKS_EXACT = ("ty", "tysm", "tyvm", "thank you", "thanks", "thx", "thnx", "tha
 THANKS_OPENERS = ("thank", "thanks", "grateful", "appreciate")
 
 
+def _sentinel(text: Column, first: Column = F) -> Column:
+    """Empty, deleted or removed, after what comes first."""
+    b = ustrip(F.coalesce(text, F.lit("")))
+    return first.when(b == "", "empty").when(b == "[deleted]", "deleted").when(b == "[removed]", "removed")
+
+
 def exclusion_reason(body: str = "body") -> Column:
     """Why a comment is left out, first match wins; null keeps it."""
-    kind = let(ustrip(F.coalesce(F.col(body), F.lit(""))), lambda b: F.when(b == "", "empty").when(b == "[deleted]", "deleted").when(b == "[removed]", "removed"))
-    return F.when(kind.isNotNull(), kind).when(F.col("distinguished") == "moderator", "moderator").when(F.coalesce("score", F.lit(0)) < 0, "negative_score")
+    return _sentinel(F.col(body)).when(F.col("distinguished") == "moderator", "moderator").when(F.coalesce("score", F.lit(0)) < 0, "negative_score")
 
 
 def post_exclusion_reason() -> Column:
     """Why a post is left out; a null is_self counts as a text post."""
-    kind = let(ustrip(F.coalesce("selftext", F.lit(""))), lambda b: F.when(b == "", "empty").when(b == "[deleted]", "deleted").when(b == "[removed]", "removed"))
-    return F.when(~F.coalesce("is_self", F.lit(True)), "not_self").when(kind.isNotNull(), kind).when(F.col("distinguished") == "moderator", "moderator")
+    return _sentinel(F.col("selftext"), F.when(~F.coalesce("is_self", F.lit(True)), "not_self")).when(F.col("distinguished") == "moderator", "moderator")
 
 
 def _classified(body: Column, phrases, exact, openers, empty: bool) -> Column:

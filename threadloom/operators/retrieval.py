@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,15 +31,16 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 75) -> DataFrame:
 
     ``docs``: (id, text), ids distinct; ``queries``: (query_id, query), a stated
     set that is small beside the documents.  Only postings of query terms are
-    kept, so the shuffle holds (term, document, count) of those.  Null texts
+    kept, so the shuffle holds (term, document, count) of those; what is small
+    enough to be broadcast is left to the planner's measure of it.  Null texts
     have length 0 and match nothing; ties by id.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(search_terms(F.col("query")))).alias("term"))
     toks = docs.select("id", search_terms(F.col("text")).alias("w")).withColumn("len", F.size("w"))
     stats = toks.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    post = toks.select("id", "len", F.explode("w").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
+    post = toks.select("id", "len", F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    s = post.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").crossJoin(F.broadcast(stats))
+    s = post.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats))  # stats: one row
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = s.groupBy("query_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score"))
@@ -53,23 +58,54 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 1000) -> DataFrame:
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
     """(query_id, id, score, rank) by cosine; the query set meets all rows in blocks of ``block`` queries.
 
     ``vectors``: (id, v); ``queries``: (query_id, v).  A query does not find
-    itself.  Null vectors find and are found nothing; ties by id.
+    itself.  Null vectors find and are found nothing; ties by id.  A block's
+    matrix of queries goes to every task, which multiplies it with batches of
+    rows and keeps the k best of each query; only those are shuffled.
     """
-    v = vectors.where("v is not null").select("id", l2_normalise(F.col("v")).alias("x"))
-    q = queries.where("v is not null").select("query_id", l2_normalise(F.col("v")).alias("y"))
-    blocks = (q.count() + block - 1) // block
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    kind, named = vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {named}, id {kind}, score double"
+    v = vectors.where("v is not null").select("id", "v")
+    q = queries.where("v is not null").select("query_id", "v")
+    blocks = max(1, -(-q.count() // block))
     out = None
-    for i in range(max(blocks, 1)):
-        part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, 1))) == i)
-        s = v.crossJoin(F.broadcast(part)).where("id <> query_id").select("query_id", "id", F.round(dot(F.col("x"), F.col("y")), DIGITS).alias("score"))
-        top = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = top if out is None else out.unionByName(top)
-    return out
+    for i in range(blocks):
+        part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas() if blocks > 1 else q.toPandas()
+        found = v.mapInPandas(_nearest(part["query_id"].to_numpy(), unit_rows(part["v"]), k), schema)
+        out = found if out is None else out.unionByName(found)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def unit_rows(v: pd.Series) -> np.ndarray:
+    """Rows of unit length in double; norms are floored at 1e-12."""
+    m = np.array([np.asarray(x, np.float64) for x in v]) if len(v) else np.zeros((0, 1))
+    return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for f in frames:
+            if not len(f) or not len(ids):
+                continue
+            score = np.round(matrix @ unit_rows(f["v"]).T, DIGITS)
+            rows, own = f["id"].to_numpy(), []
+            # the k best and all that tie with the last of them; the query itself may be one more
+            most = min(k + 1, len(rows))
+            least = -np.partition(-score, most - 1, axis=1)[:, most - 1 : most]
+            at, col = np.nonzero(score >= least)
+            own = pd.DataFrame({"query_id": ids[at], "id": rows[col], "score": score[at, col]})
+            own = own[own["query_id"].astype(object) != own["id"].astype(object)]
+            best = own if best is None else pd.concat([best, own], ignore_index=True)
+            best = best.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
+        if best is not None:
+            yield best
+
+    return run
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, alpha: float = 0.8, k: int = 75) -> DataFrame:
@@ -104,13 +140,15 @@ def recency(ts: Column, reference: Column) -> Column:
     return F.when(ts.isNull() | (reference <= 0), F.lit(0.0)).otherwise(F.pow(F.lit(2.0), -age / 730))
 
 
-def rank_results(hits: DataFrame, weights: tuple, cap: int = 3, final: int = 25) -> DataFrame:
-    """Blend rank position with signals, at most ``cap`` a thread, the ``final`` best of each query.
+SIGNALS = ("position", "vote_signal", "volume_signal", "recency_signal", "agreed", "thanked")
+
+
+def with_signals(hits: DataFrame, cap: int = 3) -> DataFrame:
+    """Hits with their ranking signals, at most ``cap`` a thread; rows without a thread are never capped.
 
     ``hits``: (query_id, id, rank, link_id, comment_score, post_score,
     num_comments, created_utc, agreement_count, thanks_count).  Positions and
-    the reference time come from all hits, before the cap; rows without a
-    thread are never capped; ties keep the order of ``rank``.
+    the reference time come from all hits, before the cap.
     """
     q = Window.partitionBy("query_id")
     thread = Window.partitionBy("query_id", "link_id").orderBy("rank")
@@ -119,29 +157,80 @@ def rank_results(hits: DataFrame, weights: tuple, cap: int = 3, final: int = 25)
     position = F.when(F.col("total") <= 1, F.lit(1.0)).otherwise((F.col("total") - F.col("rank")) / (F.col("total") - 1))
     present = lambda c: (F.coalesce(c, F.lit(0)) > 0).cast("double")
     signals = (position, log_signal(F.coalesce("comment_score", "post_score"), 1500.0), log_signal(F.col("num_comments"), 2000.0), recency(F.col("created_utc"), F.col("reference")), present("agreement_count"), present("thanks_count"))
-    blended = sum((F.lit(w) * s for w, s in zip(weights, signals, strict=True)), F.lit(0.0))
-    d = d.withColumn("final_score", F.round(blended, DIGITS))
-    order = q.orderBy(F.desc("final_score"), "rank")
-    return d.withColumn("final_rank", F.row_number().over(order)).where(F.col("final_rank") <= final).select("query_id", "id", "rank", "link_id", "final_score", "final_rank")
+    return d.select("query_id", "id", "rank", "link_id", *(c.alias(n) for c, n in zip(signals, SIGNALS, strict=True)))
 
 
-def tournament(hits: DataFrame, only: dict[str, set[str]] | None = None) -> DataFrame:
-    """Every weight set over the same hits; ``only`` limits a set to some queries."""
-    out = None
-    for name, weights in WEIGHTS.items():
-        some = hits.where(F.col("query_id").isin(*only[name])) if only and name in only else hits
-        one = rank_results(some, weights).withColumn("config", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+def rank_results(hits: DataFrame, weights: tuple, cap: int = 3, final: int = 25) -> DataFrame:
+    """Blend rank position with signals; the ``final`` best of each query, ties in the order of ``rank``."""
+    return tournament(hits, {"": weights}, cap=cap, final=final).drop("config")
+
+
+def tournament(hits: DataFrame, configs: dict[str, tuple] | None = None, *, only: dict[str, set[str]] | None = None, cap: int = 3, final: int = 25) -> DataFrame:
+    """Every weight set over the same hits, which are made once; ``only`` limits a set to some queries."""
+    sets = configs or WEIGHTS
+    rows = [F.struct(F.lit(name).alias("config"), *(F.lit(float(w)).alias(f"w{i}") for i, w in enumerate(ws)), (F.array(*map(F.lit, sorted(only[name]))) if only and name in only else F.lit(None).cast("array<string>")).alias("queries")) for name, ws in sets.items()]
+    d = with_signals(hits, cap).withColumn("s", F.explode(F.array(*rows)))
+    d = d.where(F.col("s.queries").isNull() | F.array_contains("s.queries", F.col("query_id").cast("string")))
+    blended = sum((F.col(f"s.w{i}") * F.col(c) for i, c in enumerate(SIGNALS)), F.lit(0.0))
+    d = d.select("s.config", "query_id", "id", "rank", "link_id", F.round(blended, DIGITS).alias("final_score"))
+    order = Window.partitionBy("config", "query_id").orderBy(F.desc("final_score"), "rank")
+    return d.withColumn("final_rank", F.row_number().over(order)).where(F.col("final_rank") <= final)
+
 
+def one_config(hits: DataFrame, name: str, query_ids: list[str]) -> DataFrame:
+    """One weight set for some queries, with the movement against the hits' order."""
+    some = hits.where(F.col("query_id").isin(*query_ids))
+    ranked = tournament(some, {name: WEIGHTS[name]})
+    return movement(some, ranked).join(ranked.select("query_id", "id", "config", "final_score"), ["query_id", "id"])
 
-def term_hits(terms: Column, hay: Column) -> Column:
-    """How many of the terms occur in a lower-cased text.
+
+def result_fields(objects: DataFrame) -> DataFrame:
+    """Stored objects as results: missing texts are empty, missing counts 0, missing flags false; addresses and times stay null."""
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    number = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return objects.select("chunk_id", text("text"), text("chunk_type"), text("post_title"), "post_summary", "permalink", "link_id", "comment_score", "post_score", number("num_comments"), number("agreement_count"), number("thanks_count"), number("nest_level"), F.coalesce("stickied", F.lit(False)).alias("stickied"), "created_utc")
+
+
+def rerank(hits: DataFrame, score: Column | None, top: int = 50, budget_ok: Column | None = None) -> DataFrame:
+    """The ``top`` hits of each query in the order of a scorer, ties in the order they had.
+
+    Without a scorer, or where ``budget_ok`` is false for a row of the query (a
+    scorer that took too long), the query keeps the order it had.
+    """
+    q = Window.partitionBy("query_id")
+    d = hits.where(F.col("rank") <= top)
+    s = score if score is not None else F.lit(None).cast("double")
+    d = d.withColumn("rerank_score", F.round(s, DIGITS))
+    kept = F.min(budget_ok if budget_ok is not None else F.lit(score is not None)).over(q)
+    d = d.withColumn("reranked", kept & (F.count("rerank_score").over(q) == F.count("*").over(q)))
+    order = q.orderBy(F.when(F.col("reranked"), -F.col("rerank_score")).otherwise(0.0), "rank")
+    return d.withColumn("old_rank", F.col("rank")).withColumn("rank", F.row_number().over(order)).withColumn("rerank_score", F.when(F.col("reranked"), F.col("rerank_score")))
+
+
+def retrieve(keyword: DataFrame, vector: DataFrame, objects: DataFrame, score: Column | None, weights: tuple, *, first: int = 75, distinct: int = 50, top: int = 50, final: int = 25, alpha: float = 0.8, queries: DataFrame | None = None) -> DataFrame:
+    """Search, rerank and rank in one plan: both legs fused, equal texts once, the scorer's order, signals and thread cap.
+
+    ``queries``: (query_id, query), for a scorer that looks at the query.
+    """
+    found = fuse(keyword, vector, alpha, first)
+    hits = dedup_texts(found.join(objects, F.col("id") == F.col("chunk_id")), distinct)
+    if queries is not None:
+        hits = hits.join(queries.select("query_id", "query"), "query_id")
+    ranked = rerank(hits, score, top)
+    return rank_results(ranked, weights, final=final).join(ranked.select("query_id", "id", F.col("score").alias("hybrid_score"), "rerank_score"), ["query_id", "id"])
+
+
+def apart_words(hay: Column) -> Column:
+    """A lower-cased text with single spaces for all but ASCII letters and digits, and at both ends."""
+    return F.concat(F.lit(" "), F.regexp_replace(hay, "[^a-z0-9]", " "), F.lit(" "))
+
+
+def term_hits(terms: Column, hay: Column, apart: Column) -> Column:
+    """How many of the terms occur in a lower-cased text; ``apart``: its :func:`apart_words`.
 
     A term with a space, or a longer word, may occur anywhere; one of up to
     four characters or in capitals has to stand apart from letters and digits.
     """
-    apart = F.concat(F.lit(" "), F.regexp_replace(hay, "[^a-z0-9]", " "), F.lit(" "))
 
     def hit(t: Column) -> Column:
         s = F.trim(t)
@@ -162,10 +251,10 @@ def candidates(chunks: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
     title = F.coalesce("post_title", F.lit(""))
     vote = F.when(F.col("chunk_type") == "comment", F.coalesce("comment_score", F.lit(0))).otherwise(F.coalesce("post_score", F.lit(0)))
     link = F.coalesce("link_id", F.when(F.col("chunk_type") == "post", F.concat(F.lit("t3_"), F.split("chunk_id", "_")[1])), "chunk_id")
-    c = chunks.select("chunk_id", hay.alias("hay"), vote.alias("vote"), link.alias("link"), title.rlike(EMOTIONAL_TITLE).alias("emo"), title.rlike(BENEFITS_TITLE).alias("ben"))
+    c = chunks.select("chunk_id", hay.alias("hay"), apart_words(hay).alias("apart"), vote.alias("vote"), link.alias("link"), title.rlike(EMOTIONAL_TITLE).alias("emo"), title.rlike(BENEFITS_TITLE).alias("ben"))
     s = c.crossJoin(F.broadcast(queries.select("query_id", "category", "expected_terms")))
     hinted = (F.col("category") == "emotional") & F.col("emo") | (F.col("category") == "benefits") & F.col("ben")
-    s = s.withColumn("hits", term_hits(F.col("expected_terms"), F.col("hay"))).withColumn("hits", F.when((F.col("hits") == 0) & hinted, 1).otherwise(F.col("hits"))).where("hits > 0")
+    s = s.withColumn("hits", term_hits(F.col("expected_terms"), F.col("hay"), F.col("apart"))).withColumn("hits", F.when((F.col("hits") == 0) & hinted, 1).otherwise(F.col("hits"))).where("hits > 0")
     s = s.select("query_id", "chunk_id", "link", "hits", (F.col("hits") * 10000 + F.col("vote")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -204,9 +293,14 @@ def allocation(pool: DataFrame, need: Column) -> DataFrame:
     return d.select("stratum", "size", F.when(F.col("total") < need, short).otherwise(target).alias("target"))
 
 
+def seeded(key: str, seed: int) -> Column:
+    """A pseudo-random order of rows that depends on their key and a seed alone."""
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+
+
 def stratified_sample(pool: DataFrame, need: Column, seed: int = 42) -> DataFrame:
     """Rows of ``pool`` (with ``stratum`` and ``chunk_id``) by allocation, chosen in the order of a seeded hash."""
-    w = Window.partitionBy("stratum").orderBy(F.xxhash64("chunk_id", F.lit(seed)), "chunk_id")
+    w = Window.partitionBy("stratum").orderBy(seeded("chunk_id", seed), "chunk_id")
     a = allocation(pool, need).select("stratum", "target")
     return pool.withColumn("n", F.row_number().over(w)).join(F.broadcast(a), "stratum").where("n <= target").drop("n", "target")
 

@@ -137,7 +137,7 @@ def _class(phrases, exact, openers, empty: str) -> str:
 
 _BASE = rf"""
 with c0 as (select *, {_strip("coalesce(body, '')")} as b, len({_tokens("body")}) as wc from comments),
-c1 as (select *, lower(b) as t, {_strip(f"regexp_replace(lower(b), '[^\p{{L}}\p{{N}}_{WS_SQL[1:-1]}]', '', 'g')")} as clean from c0),
+c1 as (select *, lower(b) as t, {_strip(f"regexp_replace(lower(b), '[^\\p{{L}}\\p{{N}}_{WS_SQL[1:-1]}]', '', 'g')")} as clean from c0),
 c2 as (select *, {_tokens("clean")} as cw,
   case when b = '' then 'empty' when b = '[deleted]' then 'deleted' when b = '[removed]' then 'removed' when distinguished = 'moderator' then 'moderator' when coalesce(score, 0) < 0 then 'negative_score' end as reason,
   case when starts_with(parent_id, 't3_') then 't3' when starts_with(parent_id, 't1_') then 't1' else 'unknown' end as parent_kind from c1),

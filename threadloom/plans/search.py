@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.functions.providers import embed, lexical_score
-from threadloom.functions.text import first_sentence
+from threadloom.functions.text import WS_SQL, first_sentence
 from threadloom.operators import answers as A
 from threadloom.operators import retrieval as R
 from threadloom.plans.ingestion import _strip
-from threadloom.runtime import table
+from threadloom.runtime import spread, table
 
 FORUM = "longhaul_example"
 
 
 def _chunks(s, d):
-    return table(s, d, "chunk_metadata").dropDuplicates(["chunk_id"])
+    return table(s, d, "chunk_metadata").dropDuplicates(["chunk_id"])  # rows that repeat a chunk are identical
 
 
 def _golden(s, d):
@@ -41,17 +41,41 @@ def w4_exact_dedup(s, d):
     return _hits(s, d).select("query_id", "id", "score", "rank")
 
 
-def r1_hybrid(s, d):
+def _legs(s, d):
     q = _golden(s, d)
-    v = embed(_chunks(s, d).withColumnRenamed("chunk_id", "id"), "id", "text")
-    qv = embed(q, "query_id", "query")
-    vector = R.cosine_top_k(v, qv, 75)
-    return R.fuse(R.bm25(_docs(s, d), q), vector).select("query_id", "id", "score", "rank")
+    v = embed(spread(_chunks(s, d).withColumnRenamed("chunk_id", "id")), "id", "text")
+    return R.bm25(_docs(s, d), q), R.cosine_top_k(v, embed(q, "query_id", "query"), 75)
+
+
+def r1_hybrid(s, d):
+    return R.fuse(*_legs(s, d)).select("query_id", "id", "score", "rank")
+
+
+_LEXICAL = F.round(lexical_score(F.col("query"), F.concat_ws(" ", "post_title", "text")), 6)
 
 
 def r4_rerank(s, d):
     h = _hits(s, d).join(F.broadcast(_golden(s, d).select("query_id", "query")), "query_id")
-    return h.select("query_id", "id", "rank", F.round(lexical_score(F.col("query"), F.concat_ws(" ", "post_title", "text")), 6).alias("rerank_score"))
+    return R.rerank(h, _LEXICAL).select("query_id", "id", "old_rank", "rank", "rerank_score")
+
+
+def r4_fallback(s, d):
+    """Queries of which a hit took too long (here: a long text) keep their order."""
+    h = _hits(s, d).join(F.broadcast(_golden(s, d).select("query_id", "query")), "query_id")
+    return R.rerank(h, _LEXICAL, budget_ok=F.length("text") < 1500).select("query_id", "id", "old_rank", "rank", "rerank_score", "reranked")
+
+
+def r2_result_fields(s, d):
+    return R.result_fields(_chunks(s, d)).drop("text")
+
+
+def r6_retrieve(s, d):
+    keyword, vector = _legs(s, d)
+    return R.retrieve(keyword, vector, _chunks(s, d), _LEXICAL, R.WEIGHTS["B_rank_dominant"], queries=_golden(s, d)).select("query_id", "id", "rank", "hybrid_score", "rerank_score", "final_score", "final_rank")
+
+
+def r14_one_config(s, d):
+    return R.one_config(_hits(s, d), "C_community_dominant", ["q01", "q02"])
 
 
 def r13_tournament(s, d):
@@ -150,7 +174,7 @@ def e6_pending(s, d):
     return A.pending(p.select(F.col("id").alias("key")).distinct(), done)
 
 
-QUERIES = {f.__name__: f for f in (r1_bm25, w4_exact_dedup, r1_hybrid, r4_rerank, r13_tournament, a15_diversity, j16_movement, tk1_candidates, w3_link_cap, w5_positives, tk6_allocation, tk6_sample, tk2_cosine_topk, r10_metrics, a12_by_category, f11_input_gate, context_packs, r18_sources, r18_orphans, policy_split, e6_pending)}
+QUERIES = {f.__name__: f for f in (r1_bm25, w4_exact_dedup, r1_hybrid, r2_result_fields, r4_rerank, r4_fallback, r6_retrieve, r14_one_config, r13_tournament, a15_diversity, j16_movement, tk1_candidates, w3_link_cap, w5_positives, tk6_allocation, tk6_sample, tk2_cosine_topk, r10_metrics, a12_by_category, f11_input_gate, context_packs, r18_sources, r18_orphans, policy_split, e6_pending)}
 
 _TERMS = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
 _BM25 = f"""with ch as (select distinct on (chunk_id) * from chunk_metadata), t as (select chunk_id as id, {_TERMS.format("concat_ws(' ', post_title, text)")} as w from ch),
@@ -166,13 +190,33 @@ h as (select *, rank_ as rank from (select *, row_number() over (partition by qu
 """
 
 
-def _ranked(name: str) -> str:
+_HASHED = """{n}t as (select id, unnest(list_filter(regexp_split_to_array(lower(coalesce(x, '')), '{ws}+'), lambda x: x <> '')) as w from {src}),
+{n}v as (select id, ('0x' || left(md5(w), 4))::int % 64 as dim, sum(case when substr(md5(w), 5, 1) >= '8' then 1.0 else -1.0 end) as x from {n}t group by all),
+{n}n as (select id, greatest(sqrt(sum(x * x)), 1e-12) as n from {n}v group by id)"""
+_HYBRID = _BM25 + f""", {_HASHED.format(n="c", ws=WS_SQL, src="(select chunk_id as id, text as x from ch)")}, {_HASHED.format(n="q", ws=WS_SQL, src="(select id, query as x from golden_queries)")},
+cos as (select q.id as query_id, c.id, round(sum(q.x / qn.n * (c.x / cn.n)), 9) as score from qv q join cv c using (dim) join qn on qn.id = q.id join cn on cn.id = c.id group by all),
+vk as (select * from (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from cos) where rank <= 75),
+leg as (select query_id, id, 'b' as leg, score from rk where rank <= 75 union all select query_id, id, 'v', score from vk),
+nrm as (select query_id, id, leg, case when max(score) over w = min(score) over w then 1.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as x from leg window w as (partition by query_id, leg)),
+fu as (select * from (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from (select query_id, id, round(0.8 * coalesce(sum(x) filter (where leg = 'v'), 0) + 0.2 * coalesce(sum(x) filter (where leg = 'b'), 0), 9) as score from nrm group by 1, 2)) where rank <= 75)
+"""
+_QT = "list_distinct(" + _TERMS.format("query") + ")"
+_LEX = f"round(case when len({_QT}) > 0 then len(list_intersect({_QT}, {_TERMS.format("concat_ws(' ', post_title, text)")})) / len({_QT}) else 0 end, 6)"
+
+
+def _reranked(hits: str, ok: str = "true") -> str:
+    """Hits h (with rank) in the order of the lexical score, as table rr."""
+    return f"""lx as (select {hits}.*, query, {_LEX} as lex from {hits} join (select id as gid, query from golden_queries) on gid = query_id), lb as (select *, bool_and({ok}) over (partition by query_id) as reranked from lx),
+rr as (select * exclude (rank, lex), rank as old_rank, case when reranked then lex end as rerank_score, row_number() over (partition by query_id order by case when reranked then -lex else 0 end, rank)::int as rank from lb)"""
+
+
+def _ranked(name: str, h: str = "h") -> str:
     a, b, c, r, g, t = R.WEIGHTS[name]
     log = lambda x, cap: f"case when coalesce({x}, 0) <= 1 then 0.0 else least(ln({x}) / ln({cap}), 1.0) end"
     return f"""select '{name}' as config, query_id, id, rank, link_id, final_score, final_rank from (select *, row_number() over (partition by query_id order by final_score desc, rank)::int as final_rank from (
 select *, round({a} * case when total <= 1 then 1.0 else (total - rank) / (total - 1) end + {b} * {log("coalesce(comment_score, post_score)", 1500)} + {c} * {log("num_comments", 2000)}
  + {r} * case when created_utc is null or reference <= 0 then 0.0 else pow(2.0, -greatest((reference - created_utc) / 86400.0, 0) / 730) end + {g} * (coalesce(agreement_count, 0) > 0)::int + {t} * (coalesce(thanks_count, 0) > 0)::int, 9) as final_score
-from (select *, count(*) over (partition by query_id) as total, coalesce(max(created_utc) over (partition by query_id), 0) as reference, row_number() over (partition by query_id, link_id order by rank) as th from h) where link_id is null or th <= 3)) where final_rank <= 25"""
+from (select *, count(*) over (partition by query_id) as total, coalesce(max(created_utc) over (partition by query_id), 0) as reference, row_number() over (partition by query_id, link_id order by rank) as th from {h}) where link_id is null or th <= 3)) where final_rank <= 25"""
 
 
 _RE = lambda p: p.replace("'", "''")
@@ -198,6 +242,15 @@ _GATE = f"""select case when t = '' then 'query_empty' when length(t) > 8000 the
  when {" or ".join(f"regexp_matches(t, '{p}')" for p in A.INJECTION)} then 'query_rejected_pattern' when regexp_matches(t, '{A.CONTROL}') then 'query_control_chars' else '' end as error_code, count(*) as n from (select {_T} as t from comments) group by 1"""
 SQL = {
     "r1_bm25": _BM25 + "select query_id, id, score, rank from rk where rank <= 10",
+    "r1_hybrid": _HYBRID + "select query_id, id, score, rank from fu",
+    "r2_result_fields": "select distinct on (chunk_id) chunk_id, coalesce(chunk_type, '') as chunk_type, coalesce(post_title, '') as post_title, post_summary, permalink, link_id, comment_score, post_score, coalesce(num_comments, 0) as num_comments, coalesce(agreement_count, 0) as agreement_count, coalesce(thanks_count, 0) as thanks_count, coalesce(nest_level, 0) as nest_level, coalesce(stickied, false) as stickied, created_utc from chunk_metadata",
+    "r4_rerank": _HITS + ", " + _reranked("h") + " select query_id, id, old_rank, rank, rerank_score from rr",
+    "r4_fallback": _HITS + ", " + _reranked("h", "length(text) < 1500") + " select query_id, id, old_rank, rank, rerank_score, reranked from rr",
+    "r6_retrieve": _HYBRID + f""", h0 as (select fu.query_id, fu.id, fu.score, fu.rank as r0, ch.* from fu join ch on fu.id = ch.chunk_id), h1 as (select *, row_number() over (partition by query_id, md5({_strip("text")}) order by r0) as f from h0),
+h as (select * exclude (rank_), rank_ as rank from (select *, row_number() over (partition by query_id order by r0)::int as rank_ from h1 where f = 1) where rank_ <= 50), {_reranked("h")}, fin as ({_ranked("B_rank_dominant", "rr")})
+select fin.query_id, fin.id, fin.rank, rr.score as hybrid_score, rr.rerank_score, final_score, final_rank from fin join rr on rr.query_id = fin.query_id and rr.id = fin.id""",
+    "r14_one_config": _HITS + f""", g as (select * from h where query_id in ('q01', 'q02')), r as ({_ranked('C_community_dominant', 'g')})
+select g.query_id, g.id, g.rank as old_rank, r.final_rank as new_rank, g.rank - r.final_rank as moved, config, final_score from g join r on g.query_id = r.query_id and g.id = r.id""",
     "w4_exact_dedup": _HITS + "select query_id, id, score, rank from h",
     "r13_tournament": _HITS + "select config, query_id, id, rank, final_score, final_rank from (" + " union all ".join(_ranked(n) for n in R.WEIGHTS) + ")",
     "a15_diversity": _HITS + f", r as ({_ranked('B_rank_dominant')}) select query_id, count(distinct coalesce(link_id, id)) filter (where final_rank <= 10) as threads_top, count(distinct coalesce(link_id, id)) as threads_all from r group by 1",
@@ -210,6 +263,12 @@ SQL = {
 g as (select stratum, count(*) as size from pool group by 1), f as (select *, 50 * size / sum(size) over () as raw, floor(50 * size / sum(size) over ()) as fl from g),
 o as (select *, 50 - sum(fl) over () as rest, row_number() over (order by round(raw - fl, 12) desc, stratum desc) as pos from f)
 select stratum, size, (fl + (pos <= rest)::int)::bigint as target from o""",
+    "tk6_sample": _CAND + """, pool as (select chunk_id, chunk_type || '|' || case when v <= 0 then 'low' when v <= 10 then 'mid' else 'high' end || '|' || coalesce(year(make_timestamp(created_utc * 1000000))::varchar, 'unknown') as stratum
+  from (select *, coalesce(nullif(comment_score, 0), post_score, 0) as v from ch where chunk_id not in (select chunk_id from pos))),
+g as (select stratum, count(*) as size from pool group by 1), f as (select *, 50 * size / sum(size) over () as raw, floor(50 * size / sum(size) over ()) as fl from g),
+o as (select *, 50 - sum(fl) over () as rest, row_number() over (order by round(raw - fl, 12) desc, stratum desc) as pos from f),
+n as (select *, row_number() over (partition by stratum order by md5(chunk_id || ':42'), chunk_id) as n from pool)
+select chunk_id, n.stratum from n join o using (stratum) where n <= fl + (pos <= rest)::int""",
     "tk2_cosine_topk": _COS + "select query_id, id, score, rank from top",
     "r10_metrics": _COS + "select * from met",
     "a12_by_category": _COS + "select coalesce(category::varchar, 'all') as category, count(*) as n, round(avg(ndcg), 6) as ndcg, round(avg(mrr), 6) as mrr from met group by rollup (category)",
