@@ -1,15 +1,21 @@
 """Text functions, gates, chunking, ranking and answers on hand-made rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.functions.providers import embed, with_retries
+from threadloom.functions.providers import ask, embed, judge_reply, retry_wait, score_pairs, with_retries
 from threadloom.functions.text import first_sentence, ustrip, word_count
 from threadloom.operators import answers as A
+from threadloom.operators import corpus, replies
 from threadloom.operators import retrieval as R
 from threadloom.operators.chunking import tokens, windows
 from threadloom.operators.gates import exclusion_reason, gap_flags, is_agreement, is_thanks
-from threadloom.sources.ndjson import append_values, clone_collection, discovered_fields, load_values, read_ndjson
+from threadloom.operators.records import metric_deltas
+from threadloom.sources import collections, reports
+from threadloom.sources.collections import clone_collection
+from threadloom.sources.ndjson import append_values, discovered_fields, keep_last, load_values, numbered_lines, read_ndjson, read_query_document, read_strict, write_ndjson
 
 
 def one(spark, value, column, kind="string"):
@@ -99,25 +105,197 @@ def test_gate(spark, text, code):
 
 
 def test_sources(spark, tmp_path):
-    (tmp_path / "a.json").write_text('{"id": "a", "n": 1}\n\n{bad\n{"id": "b", "z": 2}\n')
-    d = read_ndjson(spark, str(tmp_path / "a.json"), spark.createDataFrame([], "id string, n int").schema).cache()
-    assert d.count() == 3 and d.where("_corrupt_record is not null").count() == 1
-    assert {r.field for r in discovered_fields(spark, str(tmp_path / "a.json")).collect()} == {"id", "n", "z"}
+    (tmp_path / "a.json").write_bytes(b'{"id": "a", "n": 1}\n\n{bad\n  {"id": "b\xff", "z": 2} \n[1]\n{"id": "a", "n": "x"}\n{"id": "a", "n": 7}')
+    schema = spark.createDataFrame([], "id string, n int").schema
+    d = read_ndjson(spark, str(tmp_path / "a.json"), schema).cache()
+    got = {r.line_no: (r.id, r.n, r.error) for r in d.collect()}
+    assert got[1] == ("a", 1, None) and got[4] == ("b\ufffd", None, None) and set(got) == {1, 3, 4, 5, 6, 7}
+    assert got[3][2] and got[5][2] == "no object" and got[6][2]
+    assert {(r.id, r.n) for r in keep_last(d.where("error is null").select("line_no", "id", "n"), "id").collect()} == {("a", 7), ("b\ufffd", None)}
+    with pytest.raises(Exception, match="not UTF-8"):
+        read_ndjson(spark, str(tmp_path / "a.json"), schema, strict_encoding=True).collect()
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_strict(spark, str(tmp_path / "a.json"), schema).collect()
+    assert {r.field for r in discovered_fields(spark, str(tmp_path / "a.json")).collect()} >= {"id", "n", "z"}
+
+
+def test_line_numbers_over_blocks(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(3000)]
+    (tmp_path / "b.txt").write_text("\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = {r.line_no: r.line for r in numbered_lines(spark, str(tmp_path / "b.txt")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == dict(enumerate(lines, 1))
+
+
+def test_query_document(spark, tmp_path):
+    (tmp_path / "q.json").write_text('{"version": 2, "queries": [{"id": "q01", "query": "\u00a0a b "}, {"id": "q02", "query": " "}, {"id": "q03", "query": null}]}')
+    assert [(r.version, r.id, r.query) for r in read_query_document(spark, str(tmp_path / "q.json")).collect()] == [(2, "q01", "a b")]
+    (tmp_path / "none.json").write_text('{"version": 2, "queries": [{"id": "q02", "query": " "}]}')
+    with pytest.raises(ValueError, match="no queries"):
+        read_query_document(spark, str(tmp_path / "none.json"))
+
+
+def test_checkpoints_of_values(spark, tmp_path):
     p = str(tmp_path / "kv")
     assert load_values(spark, p).count() == 0
-    append_values(spark.createDataFrame([("k", None), ("m", "1")], "key string, value string"), p)
-    append_values(spark.createDataFrame([("k", "2")], "key string, value string"), p)
-    assert {(r.key, r.value) for r in load_values(spark, p).collect()} == {("k", "2"), ("m", "1")}
-    assert clone_collection(spark, p, str(tmp_path / "copy")) == 3
-    with pytest.raises(Exception, match="(?i)exist"):
-        clone_collection(spark, p, str(tmp_path / "copy"))
+    for rows in ([("k", None), ("m", "9"), ("z", "1")], [("k", "2"), ("m", "1")], [("z", None)]):
+        append_values(spark.createDataFrame(rows, "key string, value string"), p)
+    # what was written last counts, also where it sorts lower or is null
+    assert {(r.key, r.value) for r in load_values(spark, p).collect()} == {("k", "2"), ("m", "1"), ("z", None)}
+    write_ndjson(spark.createDataFrame([("é字",)], "a string"), str(tmp_path / "out"))
+    assert any("é字" in f.read_text() for f in (tmp_path / "out").glob("*.json"))
+
+
+def test_collections(spark, tmp_path):
+    c = str(tmp_path / "c")
+    assert collections.create_collection(spark, c) and not collections.create_collection(spark, c) and collections.create_collection(spark, c, recreate=True)
+    objects = spark.createDataFrame([(f"t1_{i}_0", "comment" if i % 2 else "post", "bad" if i == 3 else f"text {i}") for i in range(6)], "chunk_id string, chunk_type string, text string")
+
+    def provider(texts):
+        if "bad" in texts:
+            raise ValueError("refused")
+        return [(i, [float(len(t)), 1.0]) for i, t in reversed(list(enumerate(texts)))]  # out of order, with indexes
+
+    failed = collections.ingest(objects, c, provider, batch=1, tries=2, wait=0.0)
+    assert [(r.chunk_id, r.error) for r in failed.collect()] == [("t1_3_0", "ValueError: refused")]
+    assert tuple(collections.ingest_counts(objects, failed).first()) == (6, 5, 1)
+    collections.ingest(objects.where("chunk_id = 't1_1_0'").withColumn("text", F.lit("new")), c, provider, batch=1)
+    rows = {r.chunk_id: r for r in spark.read.parquet(c).collect()}
+    assert len(rows) == 5 and rows["t1_1_0"].text == "new" and rows["t1_1_0"].vector == [3.0, 1.0] and rows["t1_0_0"].vector == [6.0, 1.0]
+    assert clone_collection(spark, c, str(tmp_path / "copy"), export=str(tmp_path / "lines")) == 5 == spark.read.json(str(tmp_path / "lines")).count()
+    with pytest.raises(FileExistsError):
+        clone_collection(spark, c, str(tmp_path / "copy"))
+    v = spark.createDataFrame([("a", [1.0]), ("b", [2.0]), ("b", [3.0])], "id string, v array<double>")
+    assert collections.vectors_of(v, v.where("id = 'a'")).first().v == [1.0]
+    with pytest.raises(Exception, match="not one vector"):
+        collections.vectors_of(v, v).collect()
+    for kind in ("chunks", "queries", "chunks"):
+        collections.write_embeddings(v.where("id = 'a'"), str(tmp_path / "e"), "m1", "no_enrich", kind)
+    assert sorted((r.kind, r.n, r.dims) for r in collections.embedding_manifest(spark, str(tmp_path / "e")).collect()) == [("chunks", 1, 1), ("queries", 1, 1)]
+    assert [r.chunk_id for r in collections.select_sources(objects, posts=False, limit=2).collect()] == ["t1_1_0", "t1_3_0"]
+    assert collections.select_sources(objects, comments=False, posts=False).count() == 0
+
+
+def test_eval_corpus(spark, tmp_path):
+    chunks = spark.createDataFrame([(f"t1_c{i}_0", "comment", f"text {i}", None, None, i % 12, 0, 1_600_000_000, None, "x") for i in range(60)], "chunk_id string, chunk_type string, text string, post_title string, post_summary string, comment_score int, post_score int, created_utc long, nest_level int, stratum string")
+    found = spark.createDataFrame([("q1", f"t1_c{i}_0", f"l{i % 3}", 10000 + i, i + 1) for i in range(20)], "query_id string, chunk_id string, link string, score long, rank int")
+    got = corpus.eval_corpus(chunks.drop("stratum"), found, total=20, cap=9)
+    rows = got.collect()
+    assert sorted(r.ordinal for r in rows) == list(range(20)) and sum(r.is_positive for r in rows) == 5 == corpus.positive_cap(20, 9)
+    assert {r.chunk_id for r in rows if r.is_positive} == {f"t1_c{i}_0" for i in range(15, 20)} and corpus.positive_cap(2, 9) == 1
+    meta = corpus.corpus_meta(got, found, total=20, cap=9, seed=42)
+    corpus.write_eval_corpus(got, meta, str(tmp_path))
+    back = corpus.load_eval_corpus(spark, str(tmp_path)).collect()
+    assert [r.ordinal for r in back] == list(range(20)) and back[0].input == back[0].text
+    with pytest.raises(Exception, match="fewer rows"):
+        corpus.eval_corpus(chunks.drop("stratum"), found, total=61, cap=9).collect()
+    with pytest.raises(Exception, match="chunk_id not found: t1_nope_0"):
+        corpus.eval_corpus(chunks.drop("stratum"), found.withColumn("chunk_id", F.lit("t1_nope_0")), total=20, cap=9).collect()
+    spark.createDataFrame([(None, "x")], "chunk_id string, text string").write.json(str(tmp_path / "bad/corpus"))
+    with pytest.raises(Exception, match="no chunk_id"):
+        corpus.load_eval_corpus(spark, str(tmp_path / "bad")).collect()
+    assert corpus.load_eval_corpus(spark, str(tmp_path / "bad"), strict=False).count() == 0
+
+
+def test_numbered_reports(spark, tmp_path):
+    for n, v in ((1, 1.0), (2, 2.5), (10, 3.0)):
+        (tmp_path / f"golden_iteration_{n}.json").write_text(f'{{"aggregate": {{"mean": {v}, "n": 3}}}}')
+    (tmp_path / "golden_iteration_x.json").write_text("{}")
+    r = reports.discover_reports(spark, str(tmp_path), "golden_iteration")
+    assert sorted(x.number for x in r.collect()) == [1, 2, 10] and reports.next_number(r) == 11 and reports.next_number(r.limit(0)) == 1
+    last = reports.newest(r, 2)
+    assert [x.number for x in last.collect()] == [10, 2]
+    m = reports.report_metrics(last)
+    d = metric_deltas(m.where("number = 2"), m.where("number = 10"), "metric", "value")
+    assert {(x.metric, x.delta) for x in d.collect()} == {("mean", 0.5), ("n", 0.0)}
+    with pytest.raises(Exception, match="other query"):
+        reports.compare_ordinals(*(spark.createDataFrame([(1, t, 1.0)], "ordinal int, query string, score double") for t in "ab")).collect()
+    assert reports.only_ids("q8-q5, q3,,Q120") == ["q03", "q05", "q06", "q07", "q08", "q120"]
+    for bad in ("", "5-7", "q1;q2"):
+        with pytest.raises(ValueError):
+            reports.only_ids(bad)
+    assert one(spark, "a ``` b\r\nc", reports.fenced(F.col("x"))) == "a ``\u200b` b\nc" and one(spark, None, reports.fenced(F.col("x"))) == "_(_empty_)_"
+
+
+ANSWER = "Most say rest helps [1], some say pacing does too [2]; a few say that neither of them does anything."
+
+
+@pytest.mark.parametrize(("raw", "answer", "how"), [
+    ('{"answer_markdown": " Rest [1] "}', "Rest [1]", "json"), ('```json\n{"answer_markdown": "Rest"}\n```', "Rest", "json"), ('{"answer_markdown": "say "rest" now", "x": 1}', 'say "rest" now', "loose"),
+    ('{"answer_markdown": "a\\nb \\u00e9 \\q', "a\nb é \\q", "loose"), (ANSWER, ANSWER, "plain"), (ANSWER.replace("[", "("), None, "failed"), ("{" + ANSWER, None, "failed"), ("[1] short", None, "failed"), (None, None, "failed"), ('{"other": 1}', None, "failed"),
+])
+def test_answer_recovery(spark, raw, answer, how):
+    r = replies.recover_answers(spark.createDataFrame([(1, raw)], "k int, t string"), "k", "t").first()
+    assert (r.answer, r.how) == (answer, how)
+
+
+def test_synthesis_asks_again(spark):
+    ctx = spark.createDataFrame([("q", "why", "[1] T\nx")], "query_id string, query string, context string")
+    r = replies.synthesize(ctx, lambda q, c, n: "no" if n < 2 else replies.template_answer(q, c, n)).first()
+    assert (r.answer, r.how, r.attempts) == ("**Reports**\n- T [1]", "json", 3)
+    assert replies.synthesize(ctx, lambda q, c, n: "no").first().how == "failed"
+
+
+def test_rewrites(spark):
+    get = lambda t: one(spark, t, replies.parse_rewrite(F.col("x")))
+    assert get("no json") is None and get('{"rewrites": []}') is None and get(None) is None
+    r = get('{"mode": "confident", "intent": "nope", "rewrites": [{"query": "a", "confidence": 0.9}, {"query": "b", "confidence": 0.9}]}')
+    assert (r.mode, r.intent, r.best, len(r.candidates)) == ("confident", "unknown", "a", 1)
+    r = get('```\n{"intent": "symptom", "rewrites": [{"query": "a"}, {"query": "b", "confidence": 0.6}]}\n```')
+    assert (r.mode, r.intent, r.best, len(r.candidates)) == ("clarification", "symptom", "b", 2)
+
+
+def test_judges(spark):
+    j = one(spark, '{"tone_intent": "3.5", "diversity": 9, "issues": "x", "summary": null}', replies.judge_scores(F.col("x")))
+    assert (j.tone_intent, j.diversity, j.issues, j.summary, j.mean) == (4, 0, [], "(no summary from judge)", 0.8)
+    judged = ask(spark.createDataFrame([("a", "x y", "x"), ("b", "x", "q"), ("c", "boom", "x")], "k string, q string, t string"), "k", ["q", "t"], lambda q, t: judge_reply(q, t) if q != "boom" else 1 / 0, tries=2, wait=lambda n: 0.0)
+    got = {r.k: r.d for r in judged.select("k", A.judge_digit(F.col("value")).alias("d")).collect()}
+    assert got == {"a": 3, "b": 1, "c": None}
+    with pytest.raises(Exception, match="no score"):
+        one(spark, "none", A.judge_digit(F.col("x"), strict=True))
 
 
 def test_providers(spark):
     v = embed(spark.createDataFrame([("a", "x y"), ("b", None)], "k string, t string"), "k", "t").collect()
     assert [len(r.v) for r in v] == [64, 64] and abs(sum(x * x for x in v[0].v) - 1) < 1e-5
-    replies = iter([(503, None), (200, "ok")])
-    assert with_retries(lambda: next(replies), sleep=lambda s: None) == "ok"
+    with pytest.raises(Exception, match="as many vectors"):
+        embed(spark.createDataFrame([("a", "x")], "k string, t string"), "k", "t", lambda t: [], tries=1).collect()
+    waits = []
+    answers = iter([(503, None), (429, None, 7.0), TimeoutError(), (200, "ok")])
+
+    def call():
+        x = next(answers)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert with_retries(call, sleep=waits.append, jitter=lambda: 0.5) == "ok" and waits == [2.0, 7.0, 8.0]
+    with pytest.raises(RuntimeError, match="404"):
+        with_retries(lambda: (404, None), sleep=waits.append)
+    with pytest.raises(TimeoutError):
+        with_retries(lambda: (_ for _ in ()).throw(TimeoutError()), tries=2, sleep=lambda s: None)
+    assert retry_wait(9, 2.0, 30.0) == 30.0 and retry_wait(0, 2.0, 30.0, 99.0) == 30.0
+    pairs = spark.createDataFrame([(1, "a b", "a"), (2, "a", None)], "k int, q string, t string")
+    got = {r.k: r.score for r in score_pairs(pairs, ["k"], "q", "t", lambda: lambda ps: [len(q or "") + len(t or "") for q, t in ps]).collect()}
+    assert got == {1: 4.0, 2: 1.0}
+
+
+def test_cosine_against_brute_force(spark):
+    rnd = random.Random(3)
+    rows = [(i, [float(rnd.randint(0, 2)) for _ in range(3)]) for i in range(60)] + [(60, None), (61, [0.0] * 3)]
+    v = spark.createDataFrame(rows, "id int, v array<double>").repartition(5)
+    q = v.where("id % 7 = 0").withColumnRenamed("id", "query_id")
+    unit = {i: [x / max(sum(y * y for y in w) ** 0.5, 1e-12) for x in w] for i, w in rows if w}
+    for block in (3, 100):
+        got = {(r.query_id, r["rank"]): r.id for r in R.cosine_top_k(v, q, 4, block=block).collect()}
+        for i in unit:
+            if i % 7 == 0:
+                best = sorted((-round(sum(a * b for a, b in zip(unit[i], unit[j], strict=True)), 9), j) for j in unit if j != i)[:4]
+                assert [got[i, k + 1] for k in range(4)] == [j for _, j in best]
 
 
 def test_ustrip(spark):
@@ -125,16 +303,12 @@ def test_ustrip(spark):
 
 
 def test_reply_parsing(spark):
-    from threadloom.operators.records import first_json_object, parse_reply, rewrite_mode
+    from threadloom.operators.records import first_json_object, parse_reply
 
     assert first_json_object('x {"a": "}\\"{"} y') == '{"a": "}\\"{"}' and first_json_object("{") is None and first_json_object(None) is None
     rows = [(1, '```json\n{"a": 1}\n```'), (2, 'so: {"a": 2}!'), (3, "none"), (4, None), (5, "[1]")]
     got = {r.k: r.parsed for r in parse_reply(spark.createDataFrame(rows, "k int, t string"), "k", "t").collect()}
     assert got == {1: '{"a": 1}', 2: '{"a": 2}', 3: None, 4: None, 5: None}
-    reply = '{"mode": "confident", "rewrites": [{"query": "a", "confidence": 0.8}, {"query": "b", "confidence": 0.8}]}'
-    m = one(spark, reply, rewrite_mode(F.col("x")))
-    assert (m.mode, m.best) == ("confident", "a")
-    assert one(spark, '{"rewrites": []}', rewrite_mode(F.col("x"))).mode == "clarification"
 
 
 def test_streamed_arrivals(spark, tmp_path):

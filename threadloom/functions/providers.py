@@ -16,8 +16,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import first_sentence
-
 RETRIED = frozenset({408, 429, 502, 503, 504})
 
 
@@ -108,15 +106,6 @@ def lexical_score(query: Column, text: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, t)) / F.size(q)).otherwise(0.0)
 
 
-def summary(title: Column, body: Column) -> Column:
-    return F.nullif(first_sentence(F.coalesce(body, title)), F.lit(""))
-
-
-def judge_by_overlap(query: Column, text: Column) -> Column:
-    s = lexical_score(query, text)
-    return F.when(s >= 0.5, 3).when(s >= 0.2, 2).otherwise(1)
-
-
 def judge_reply(query: str | None, text: str | None) -> str:
     """A judge's reply in words, of the overlap of query and text; the interface of a relevance judge."""
     q, t = ({w for w in (x or "").lower().split()} for x in (query, text))

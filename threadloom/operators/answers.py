@@ -56,10 +56,11 @@ def strip_fences(t: Column) -> Column:
     return F.when(s.startswith("```"), ustrip(F.regexp_replace(s, r"(?m)^\s*```.*$\R?", ""))).otherwise(s)
 
 
-def judge_digit(t: Column) -> Column:
-    """The first of 1, 2, 3 in a reply, null if there is none."""
+def judge_digit(t: Column, strict: bool = False) -> Column:
+    """The first of 1, 2, 3 in a reply; null if there is none, or an error with ``strict``."""
     d = F.regexp_extract(F.coalesce(t, F.lit("")), "[123]", 0)
-    return F.when(d != "", d.cast("int"))
+    none = F.raise_error(F.concat(F.lit("no score in: "), F.coalesce(t, F.lit("")))).cast("int") if strict else F.lit(None).cast("int")
+    return F.when(d != "", d.try_cast("int")).otherwise(none)
 
 
 def clamp_score(x: Column) -> Column:

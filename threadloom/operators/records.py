@@ -89,11 +89,3 @@ def parse_reply(df: DataFrame, key: str, reply: str) -> DataFrame:
             yield pd.DataFrame({key: f[key], "parsed": out})
 
     return df.select(key, strip_fences(F.col(reply)).alias("bare"), F.col(reply).alias("raw")).mapInPandas(run, f"{key} {kind}, parsed string")
-
-
-def rewrite_mode(parsed: Column, threshold: float = 0.75) -> Column:
-    """struct(mode, best, confidence) of a rewriter's JSON: clarification if it says so or is unsure; the first of the surest candidates."""
-    r = F.from_json(parsed, "mode string, rewrites array<struct<query: string, confidence: double>>")
-    best = F.array_max(F.transform(r["rewrites"], lambda x, i: F.struct(x["confidence"].alias("c"), (-i).alias("i"), x["query"].alias("q"))))
-    ask = (r["mode"] == "clarification") | F.coalesce(best["c"] < threshold, F.lit(True))
-    return F.struct(F.when(ask, "clarification").otherwise("confident").alias("mode"), best["q"].alias("best"), best["c"].alias("confidence"))

@@ -279,12 +279,16 @@ def stratum() -> Column:
     return F.concat_ws("|", "chunk_type", bucket, F.coalesce(F.year(F.timestamp_seconds("created_utc")).cast("string"), F.lit("unknown")))
 
 
-def allocation(pool: DataFrame, need: Column) -> DataFrame:
+def allocation(pool: DataFrame, need: Column | DataFrame) -> DataFrame:
     """(stratum, size, target): largest remainders, ties by key descending; a pool of fewer rows raises.
 
+    ``need``: how many rows, as a constant or as one row (need).
+
     Strata are few (kinds x buckets x years), so the window over them is small.
     """
     s = pool.groupBy("stratum").agg(F.count("*").alias("size"))
+    if isinstance(need, DataFrame):
+        s, need = s.crossJoin(F.broadcast(need)), F.col("need")
     every = Window.partitionBy()
     d = s.withColumn("total", F.sum("size").over(every)).withColumn("raw", need * F.col("size") / F.col("total")).withColumn("floor", F.floor("raw"))
     d = d.withColumn("left", need - F.sum("floor").over(every)).withColumn("pos", F.row_number().over(every.orderBy(F.desc(F.round(F.col("raw") - F.col("floor"), 12)), F.desc("stratum"))))
@@ -298,7 +302,7 @@ def seeded(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
 
 
-def stratified_sample(pool: DataFrame, need: Column, seed: int = 42) -> DataFrame:
+def stratified_sample(pool: DataFrame, need: Column | DataFrame, seed: int = 42) -> DataFrame:
     """Rows of ``pool`` (with ``stratum`` and ``chunk_id``) by allocation, chosen in the order of a seeded hash."""
     w = Window.partitionBy("stratum").orderBy(seeded("chunk_id", seed), "chunk_id")
     a = allocation(pool, need).select("stratum", "target")

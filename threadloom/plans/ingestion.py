@@ -109,12 +109,7 @@ def a10_depth_histogram(s, d):
     return r.groupBy(C.depth_bucket(found).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def compose_policies(s, d):
-    base = _m(s, d).select("chunk_id", "chunk_type", "post_title", "post_summary", "text", "nest_level").distinct()
-    return base.select("chunk_id", *(F.md5(C.compose(p)).alias(p) for p in C.POLICIES))
-
-
-QUERIES = {f.__name__: f for f in (f1_exclusion_reason, f2_post_exclusion, f5_f6_reply_classes, a1_social_signals, a11_signal_parents, a2_gate_metrics, a3_short_buckets, a4_word_quantiles, a5_field_presence, a6_thread_structure, a7_month_counts, w1_gap_flags, j17_coverage, w8_samples, x2_comment_chunks, x3_post_chunks, a9_chunk_stats, j5_parent_sentences, a10_depth_histogram, compose_policies)}
+QUERIES = {f.__name__: f for f in (f1_exclusion_reason, f2_post_exclusion, f5_f6_reply_classes, a1_social_signals, a11_signal_parents, a2_gate_metrics, a3_short_buckets, a4_word_quantiles, a5_field_presence, a6_thread_structure, a7_month_counts, w1_gap_flags, j17_coverage, w8_samples, x2_comment_chunks, x3_post_chunks, a9_chunk_stats, j5_parent_sentences, a10_depth_histogram)}
 
 
 def _strip(x: str) -> str:
@@ -165,15 +160,6 @@ _FIELD_ROWS = " union all ".join(f"select '{f}' as field, count(*) filter (where
 _J = "array_to_string(list_filter([{}], lambda x: x is not null), chr(10) || chr(10))"
 
 
-def _compose_sql() -> str:
-    t, s, b, none = (f"nullif({_strip(c)}, '')" for c in ("post_title", "post_summary", "text", "''"))
-    j = lambda *c: _J.format(", ".join(c))
-    full, d = j(t, s, b), "nest_level"
-    by = {"baseline_full": full, "no_enrich": j(b), "depth_v1": f"case when {d} >= 4 then {j(none, b)} when {d} >= 2 then {j(t, b)} else {full} end", "depth_v2": f"case when {d} >= 3 then {j(none, b)} when {d} = 2 then {j(t, b)} else {full} end", "depth_blend": f"case when {d} >= 3 then {j(t, none, b)} when {d} = 2 then {j(t, b)} else {full} end"}
-    cols = ", ".join(f"md5(case when chunk_type = 'post' then {j(t, b)} else {v} end) as {k}" for k, v in by.items())
-    return f"with m as (select distinct chunk_id, chunk_type, post_title, post_summary, text, nest_level from chunk_metadata) select chunk_id, {cols} from m"
-
-
 def _sentence(x: str) -> str:
     t = _strip(f"regexp_replace(coalesce({x}, ''), '{WS_SQL}+', ' ', 'g')")
     cut = lambda m: f"when instr({t}, '{m}') > 0 then left({t}, least(instr({t}, '{m}'), 280)::int)"
@@ -199,5 +185,8 @@ SQL = {
     "a9_chunk_stats": f"with x as ({_COMMENT_CHUNKS}) select count(*) filter (where chunk_index = 0) as n_records, count(*) as n_chunks, count(*) filter (where chunk_index = 0 and total_chunks = 1) as n_single, count(*) filter (where chunk_index = 0 and total_chunks > 1) as n_multi, max(total_chunks) as max_chunks, round(count(*) / count(*) filter (where chunk_index = 0), 3) as avg_chunks from x",
     "j5_parent_sentences": f"with o as (select id, min(parent_id) as parent_id, min(body) as body from comments group by id) select o.id, {_sentence('q.body')} as parent_first_sentence from o join o q on o.parent_id = 't1_' || q.id",
     "a10_depth_histogram": "with recursive c as (select id, min(parent_id) parent_id from comments group by id), walk as (select id, parent_id as root, 1 as depth from c where parent_id like 't3\\_%' escape '\\' union all select c.id, walk.root, walk.depth + 1 from walk join c on c.parent_id = 't1_' || walk.id) select case when depth is null then 'unknown' when depth >= 4 then '4+' else depth::varchar end as bucket, count(*) as n from c left join walk using (id) group by 1",
-    "compose_policies": _compose_sql(),
+    "w8_samples": f"""with o as (select id, arg_min(body, struct_pack(ingested_at, score)) as body, min(distinguished) as distinguished, min(score) as score from comments group by id),
+r as (select *, {_strip("coalesce(body, '')")} as b from o), k as (select *, case when b = '' then 'empty' when b = '[deleted]' then 'deleted' when b = '[removed]' then 'removed' when distinguished = 'moderator' then 'moderator' when coalesce(score, 0) < 0 then 'negative_score' else 'keep' end as reason from r),
+n as (select *, row_number() over (partition by reason order by id nulls first)::int as rank from k)
+select reason, rank, id, case when length(body) > 80 then left(replace(body, chr(10), ' '), 80) || '…' else replace(body, chr(10), ' ') end as preview from n where rank <= 5""",
 }

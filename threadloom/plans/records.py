@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.operators import records as X
-from threadloom.plans.ingestion import _strip
 from threadloom.runtime import table
 
 
@@ -17,10 +16,6 @@ def chunk_profile(s, d):
     return X.chunk_profile(_chunks(s, d))
 
 
-def k5_index_properties(s, d):
-    return X.index_properties(_chunks(s, d)).drop("parent_first_sentence", "text")
-
-
 def _scores(s, d):
     return table(s, d, "comments").select(F.coalesce("distinguished", F.lit("none")).alias("model"), F.when(F.col("is_submitter"), "grounded").otherwise("helpful").alias("criterion"), F.col("score").cast("double").alias("raw"))
 
@@ -42,7 +37,7 @@ def u1_all_chunks(s, d):
     return a.unionByName(b, allowMissingColumns=True)
 
 
-QUERIES = {f.__name__: f for f in (chunk_profile, k5_index_properties, a13_judge_means, j18_judge_deltas, u1_all_chunks)}
+QUERIES = {f.__name__: f for f in (chunk_profile, a13_judge_means, j18_judge_deltas, u1_all_chunks)}
 _CH = "with ch as (select distinct on (chunk_id) * from chunk_metadata) "
 _MEANS = "x as (select coalesce(distinguished, 'none') as model, case when is_submitter then 'grounded' else 'helpful' end as criterion, case when score between 1 and 5 then score::int else 0 end as s from comments)"
 SQL = {
@@ -50,9 +45,6 @@ SQL = {
  coalesce(link_id, case when chunk_type = 'post' then 't3_' || string_split(chunk_id, '_')[2] end, chunk_id) as root_id, coalesce(year(t)::varchar, 'unknown') as year, strftime(t, '%Y-%m') as month,
  chunk_type || '|' || case when v <= 0 then 'low' when v <= 10 then 'mid' else 'high' end || '|' || coalesce(year(t)::varchar, 'unknown') as stratum, strftime(t, '%Y-%m-%dT%H:%M:%S+00:00') as created_iso
  from (select *, make_timestamp(created_utc * 1000000) as t, coalesce(nullif(comment_score, 0), post_score, 0) as v from ch)""",
-    "k5_index_properties": _CH + f"""select chunk_id, chunk_type, coalesce(post_title, '') as post_title, nullif({_strip("post_summary")}, '') as post_summary,
- case when chunk_type <> 'post' then coalesce(comment_score, 0) end as comment_score, case when chunk_type = 'post' then coalesce(post_score, 0) end as post_score, case when chunk_type = 'post' then coalesce(num_comments, 0) end as num_comments, case when chunk_type = 'post' then upvote_ratio end as upvote_ratio,
- coalesce(agreement_count, 0) as agreement_count, coalesce(thanks_count, 0) as thanks_count, case when chunk_type <> 'post' then link_id end as link_id, case when chunk_type <> 'post' then nest_level end as nest_level, coalesce(stickied, false) as stickied, coalesce(created_utc, 0) as created_utc from ch""",
     "a13_judge_means": f"with {_MEANS} select model, criterion, round(avg(s), 6) as mean_all, round(avg(case when s > 0 then s end), 6) as mean_valid, count(*) filter (where s = 0) as n_failed from x group by all",
     "j18_judge_deltas": f"with {_MEANS}, a as (select criterion, round(avg(case when s > 0 then s end), 6) as before from x group by 1), b as (select criterion, round(avg(case when s > 0 then s end), 6) as after from x where model = 'none' group by 1) select criterion, before, after, round(after - before, 6) as delta from a join b using (criterion)",
     "u1_all_chunks": _CH + "select chunk_id, chunk_type, case when chunk_type = 'comment' then comment_score end as comment_score, case when chunk_type = 'comment' then link_id end as link_id, case when chunk_type = 'post' then post_score end as post_score from ch",

@@ -51,18 +51,19 @@ def r1_hybrid(s, d):
     return R.fuse(*_legs(s, d)).select("query_id", "id", "score", "rank")
 
 
-_LEXICAL = F.round(lexical_score(F.col("query"), F.concat_ws(" ", "post_title", "text")), 6)
+def _lexical():
+    return F.round(lexical_score(F.col("query"), F.concat_ws(" ", "post_title", "text")), 6)
 
 
 def r4_rerank(s, d):
     h = _hits(s, d).join(F.broadcast(_golden(s, d).select("query_id", "query")), "query_id")
-    return R.rerank(h, _LEXICAL).select("query_id", "id", "old_rank", "rank", "rerank_score")
+    return R.rerank(h, _lexical()).select("query_id", "id", "old_rank", "rank", "rerank_score")
 
 
 def r4_fallback(s, d):
     """Queries of which a hit took too long (here: a long text) keep their order."""
     h = _hits(s, d).join(F.broadcast(_golden(s, d).select("query_id", "query")), "query_id")
-    return R.rerank(h, _LEXICAL, budget_ok=F.length("text") < 1500).select("query_id", "id", "old_rank", "rank", "rerank_score", "reranked")
+    return R.rerank(h, _lexical(), budget_ok=F.length("text") < 1500).select("query_id", "id", "old_rank", "rank", "rerank_score", "reranked")
 
 
 def r2_result_fields(s, d):
@@ -71,7 +72,7 @@ def r2_result_fields(s, d):
 
 def r6_retrieve(s, d):
     keyword, vector = _legs(s, d)
-    return R.retrieve(keyword, vector, _chunks(s, d), _LEXICAL, R.WEIGHTS["B_rank_dominant"], queries=_golden(s, d)).select("query_id", "id", "rank", "hybrid_score", "rerank_score", "final_score", "final_rank")
+    return R.retrieve(keyword, vector, _chunks(s, d), _lexical(), R.WEIGHTS["B_rank_dominant"], queries=_golden(s, d)).select("query_id", "id", "rank", "hybrid_score", "rerank_score", "final_score", "final_rank")
 
 
 def r14_one_config(s, d):
@@ -240,6 +241,10 @@ met as (select query_id, category, round(sum(rel / log2(rank + 1)) / sum(rel / l
 _T = _strip("coalesce(body, '')")
 _GATE = f"""select case when t = '' then 'query_empty' when length(t) > 8000 then 'query_too_long' when not regexp_matches(t, '[A-Za-z]{{3,}}') then 'query_nonsense'
  when {" or ".join(f"regexp_matches(t, '{p}')" for p in A.INJECTION)} then 'query_rejected_pattern' when regexp_matches(t, '{A.CONTROL}') then 'query_control_chars' else '' end as error_code, count(*) as n from (select {_T} as t from comments) group by 1"""
+_T280 = _strip(f"regexp_replace(coalesce(text, ''), '{WS_SQL}+', ' ', 'g')")
+_CUT = lambda m: f"when instr({_T280}, '{m}') > 0 then left({_T280}, least(instr({_T280}, '{m}'), 80)::int)"
+_ANSWERS = _HITS + f""", an0 as (select query_id, '**Reports**' || chr(10) || string_agg((case {_CUT('. ')} {_CUT('! ')} {_CUT('? ')} else left({_T280}, 80) end) || ' [' || (rank * 2 - 1) || ']', chr(10) order by rank) as answer from h where rank <= 4 group by 1),
+an as (select distinct query_id, answer, unnest(list_distinct(list_transform(regexp_extract_all(answer, '\\[(\\d{{1,9}})\\]', 1), lambda x: x::int))) as n from an0)"""
 SQL = {
     "r1_bm25": _BM25 + "select query_id, id, score, rank from rk where rank <= 10",
     "r1_hybrid": _HYBRID + "select query_id, id, score, rank from fu",
@@ -273,6 +278,15 @@ select chunk_id, n.stratum from n join o using (stratum) where n <= fl + (pos <=
     "r10_metrics": _COS + "select * from met",
     "a12_by_category": _COS + "select coalesce(category::varchar, 'all') as category, count(*) as n, round(avg(ndcg), 6) as ndcg, round(avg(mrr), 6) as mrr from met group by rollup (category)",
     "f11_input_gate": _GATE,
+    "r18_sources": _ANSWERS + f""", src as (select query_id, rank as n, id as chunk_id, {_strip("coalesce(post_title, '')")} as title, coalesce(nullif({_strip("coalesce(permalink, '')")}, ''), case when regexp_matches({_strip("link_id")}, '^t3_.') then '/r/{FORUM}/comments/' || substr({_strip("link_id")}, 4) || '/' end,
+ case when lower({_strip("chunk_type")}) = 'post' and regexp_matches(id, '^t3_[^_]+_.*?[0-9]+$') then '/r/{FORUM}/comments/' || string_split(id, '_')[2] || '/' end, '') as permalink, strftime(make_timestamp(created_utc * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') as created from h where rank <= 5)
+select * from (select distinct query_id, n from an) join src using (query_id, n)""",
+    "r18_orphans": _ANSWERS + " select query_id, n from an where (query_id, n) not in (select (query_id, rank) from h where rank <= 5)",
+    "policy_split": f"""with o as (select id, {_strip("coalesce(min(selftext), '')")} as t from posts group by id), l as (select *, string_split(t, chr(10)) as ln from o),
+x as (select *, list_position(list_transform(ln, lambda y: regexp_matches({_strip("y")}, '^\\*\\*.+\\*\\*\\s*$')), true) as line_at from l),
+p as (select *, case when line_at > 1 then {_strip("array_to_string(ln[1 : line_at - 1], chr(10))")} else '' end as prefix, case when line_at > 1 then {_strip("array_to_string(ln[line_at :], chr(10))")} else t end as body from x),
+c as (select *, regexp_matches(prefix, '\\[[0-9]+\\]') as cites, lower(prefix) as low from p)
+select id, case when cites or prefix = '' then null when {" or ".join(f"contains(low, '{x}')" for x in A.EMERGENCY)} then 'emergency' when {" or ".join(f"contains(low, '{x}')" for x in A.PRESCRIBER)} then 'prescriber' end as kind, md5(case when cites then '' else prefix end) as policy_md5, md5(case when cites then t else body end) as body_md5 from c""",
     "context_packs": _HITS + f"select query_id, md5(string_agg('[' || rank || '] ' || coalesce(post_title, '') || chr(10) || {_strip('text')}, chr(10) || chr(10) order by rank)) as context_md5 from h where rank <= 5 group by 1",
     "e6_pending": "select distinct id as key from posts where id not in (select id from posts where score > 5 and num_comments > 2 and title is not null)",
 }
