@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.providers import ask, embed, judge_reply, retry_wait, score_pairs, with_retries
 from threadloom.functions.text import first_sentence, ustrip, word_count
 from threadloom.operators import answers as A
-from threadloom.operators import corpus, replies
+from threadloom.operators import corpus, replies, service
 from threadloom.operators import retrieval as R
 from threadloom.operators.chunking import tokens, windows
 from threadloom.operators.gates import exclusion_reason, gap_flags, is_agreement, is_thanks
@@ -259,6 +259,16 @@ def test_judges(spark):
         one(spark, "none", A.judge_digit(F.col("x"), strict=True))
 
 
+def test_model_calls(spark):
+    q = spark.createDataFrame([("a", "x"), ("b", "boom")], "query_id string, query string")
+    reply = lambda t: '{"rewrites": [{"query": "%s!", "confidence": 0.9}]}' % t if t == "x" else 1 / 0
+    got = {r.query_id: r.rewrite for r in service.rewritten(q, reply, tries=1).collect()}
+    assert got["a"].best == "x!" and got["b"] is None
+    judge = lambda t, remind: '{"ok": 1}' if remind or t == "x" else "well"
+    assert {r.query_id: r.parsed for r in service.judged(q, "query_id", ["query"], judge).collect()} == {"a": '{"ok": 1}', "b": '{"ok": 1}'}
+    assert {r.parsed for r in service.judged(q, "query_id", ["query"], lambda t, remind: "well", tries=1).collect()} == {None}
+
+
 def test_providers(spark):
     v = embed(spark.createDataFrame([("a", "x y"), ("b", None)], "k string, t string"), "k", "t").collect()
     assert [len(r.v) for r in v] == [64, 64] and abs(sum(x * x for x in v[0].v) - 1) < 1e-5

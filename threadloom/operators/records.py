@@ -44,6 +44,16 @@ def judge_means(scores: DataFrame) -> DataFrame:
     return s.groupBy("model", "criterion").agg(F.round(F.avg("s"), 6).alias("mean_all"), F.round(F.avg(F.when(F.col("s") > 0, F.col("s"))), 6).alias("mean_valid"), F.count_if(F.col("s") == 0).alias("n_failed"))
 
 
+def model_means(scores: DataFrame) -> DataFrame:
+    """(model, criterion, mean): means over scores of 1 to 5, one decimal, 0 if there is none; and under ``mean`` the mean of a model's criteria.
+
+    ``scores``: (model, criterion, raw).
+    """
+    s = scores.withColumn("s", clamp_score(F.col("raw")))
+    by = s.groupBy("model", "criterion").agg(F.coalesce(F.round(F.avg(F.when(F.col("s") > 0, F.col("s"))), 1), F.lit(0.0)).alias("mean"))
+    return by.unionByName(by.groupBy("model").agg(F.round(F.avg("mean"), 1).alias("mean")).withColumn("criterion", F.lit("mean")))
+
+
 def metric_deltas(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
     """(key, before, after, delta) of the metrics both reports have."""
     a, b = before.select(key, F.col(value).alias("before")), after.select(key, F.col(value).alias("after"))
