@@ -234,6 +234,8 @@ def test_leaks_against_brute_force(spark):
     for r in found:
         part = words(text[r.doc_id][r.char_from : r.char_to])
         assert len(part) == r.word_to - r.word_from >= 13
+    blocks = leakage.find_leaks(frame, ev, block_bytes=200).collect()
+    assert sorted(map(tuple, blocks), key=str) == sorted(map(tuple, found), key=str)
     assert leakage.find_leaks(frame.limit(0), ev).count() == 0 and leakage.find_leaks(frame, ev.limit(0)).count() == 0
 
 

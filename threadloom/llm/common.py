@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+from pyarrow import fs, parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +38,12 @@ def one_per_key(df: DataFrame) -> DataFrame:
     twice = small_or_shuffled(twice)
     rest = df.join(twice, key, "left_semi").groupBy(*key).agg(F.min("text").alias("text"))
     return df.join(twice, key, "left_anti").select(*key, "text").unionByName(rest)
+
+
+def read_blobs(folder: str, part: str = "") -> Iterator[bytes]:
+    """The column ``blob`` of a table in the shared folder, or of one partition of it; for workers."""
+    system, path = fs.FileSystem.from_uri(folder.replace("s3a://", "s3://") if "://" in folder else "file://" + folder.removeprefix("file:"))
+    for f in sorted(system.get_file_info(fs.FileSelector(f"{path}/{part}".rstrip("/"), allow_not_found=True)), key=lambda x: x.path):
+        if f.base_name.endswith(".parquet"):
+            for b in parquet.ParquetFile(system.open_input_file(f.path)).iter_batches(1, columns=["blob"]):
+                yield from b.column(0).to_pylist()

@@ -4,11 +4,13 @@ Each task concatenates whole documents into shards of words, sorts their
 suffixes, keeps the Burrows-Wheeler transform in a wavelet matrix and searches
 all test phrases backward at once.  Positions come from sampled suffixes by
 walking to the last sampled one.  Overlapping hits of an item in a document are
-merged into one span.
+merged into one span.  The test phrases are a table of blocks in the shared
+folder; a shard is searched for one block after the other.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -17,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import WORD, words
-from threadloom.runtime import spread
+from threadloom.llm.common import WORD, read_blobs, words
+from threadloom.runtime import drop_at_end, shared_folder, spread
 
 MIN_WORDS = 13
 SHARD_WORDS = 1_000_000
+#: Bytes of item texts in a block.
+BLOCK_BYTES = 4 << 20
 SAMPLE = 8
 
 
@@ -134,79 +138,127 @@ class FMIndex:
         return self.values[self.samples[rows] - 1] + steps
 
 
-def phrase_table(items: list[tuple[int, str | None]], n: int = MIN_WORDS) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
-    """All runs of n words of the items: the words, the item of each run and its place in it."""
-    runs, owner, place = [], [], []
-    for item, text in items:
-        w = words(text)
-        for i in range(len(w) - n + 1):
-            runs.append(w[i : i + n])
-            owner.append(item)
-            place.append(i)
-    return runs, np.array(owner, np.int64), np.array(place, np.int64)
-
-
-def search_shard(docs: list[tuple[int, list[str]]], vocab: dict[str, int], table, n: int) -> list[tuple[int, int, int, int]]:
-    """(item, doc, first word, end word) of the merged spans in one shard; ``docs`` holds word ids."""
-    runs, owner, _ = table
-    known = [r for r, run in enumerate(runs) if all(w in vocab for w in run)]
-    if not known:
-        return []
-    phrases = np.array([[vocab[w] for w in runs[r]] for r in known], np.int64)
-    unique, back = np.unique(phrases, axis=0, return_inverse=True)
-    lengths = np.array([len(w) + 1 for _, w in docs], np.int64)
-    begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    seq = np.ones(int(lengths.sum()), np.int64)  # symbol 1 ends each document
-    for (_, w), b in zip(docs, begins, strict=True):
-        seq[b : b + len(w)] = w
-    index = FMIndex(seq, len(vocab) + 2)
-    lo, hi = index.search(unique)
-    count = hi - lo
-    if not count.any():
-        return []
-    which = np.repeat(np.arange(len(unique)), count)
-    rows = np.repeat(lo, count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-    pos = index.locate(rows)
-    doc = np.searchsorted(begins, pos, side="right") - 1
-    items_of: list[set[int]] = [set() for _ in unique]
-    for r, u in zip(known, back.ravel(), strict=True):
-        items_of[u].add(int(owner[r]))
-    hits: dict[tuple[int, int], list[int]] = defaultdict(list)
-    for u, d, p in zip(which.tolist(), doc.tolist(), (pos - begins[doc]).tolist(), strict=True):
-        for item in items_of[u]:
-            hits[item, d].append(p)
-    out = []
-    for (item, d), places in hits.items():
-        places.sort()
-        start = last = places[0]
-        for p in places[1:]:
-            if p > last + n:
-                out.append((item, docs[d][0], start, last + n))
-                start = p
-            last = p
-        out.append((item, docs[d][0], start, last + n))
-    return out
-
-
-def find_leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS, shard_words: int = SHARD_WORDS, max_items_mb: int = 64) -> DataFrame:
+class Phrases:
+    """All runs of n words of a block of items: their words as numbers, and the item of each run."""
+
+    def __init__(self, vocab: list[str], runs: np.ndarray, owner: np.ndarray) -> None:
+        self.vocab, self.runs, self.owner = vocab, runs, owner
+
+    @classmethod
+    def of(cls, items: list[tuple[int, str | None]], n: int) -> Phrases:
+        ids: dict[str, int] = defaultdict()
+        ids.default_factory = ids.__len__
+        runs, owner = [np.zeros((0, n), np.int32)], [np.zeros(0, np.int64)]
+        for item, text in items:
+            w = np.fromiter(map(ids.__getitem__, words(text)), np.int32)
+            if len(w) >= n:
+                runs.append(np.lib.stride_tricks.sliding_window_view(w, n))
+                owner.append(np.full(len(w) - n + 1, item, np.int64))
+        return cls(list(ids), np.concatenate(runs), np.concatenate(owner))
+
+    def blob(self) -> bytes:
+        named = "\0".join(self.vocab).encode("utf-8", "surrogatepass")
+        return b"".join((np.array([len(named), *self.runs.shape], np.int64).tobytes(), named, self.runs.astype(np.int32).tobytes(), self.owner.tobytes()))
+
+    @classmethod
+    def read(cls, blob: bytes) -> Phrases:
+        size, rows, n = np.frombuffer(blob, np.int64, 3).tolist()
+        at = 24 + size
+        runs = np.frombuffer(blob[at : at + 4 * rows * n], np.int32).reshape(rows, n)
+        return cls(blob[24:at].decode("utf-8", "surrogatepass").split("\0"), runs, np.frombuffer(blob[at + 4 * rows * n :], np.int64))
+
+
+class Shard:
+    """Documents, as numbers of words, in one index."""
+
+    def __init__(self, docs: list[tuple[int, list[int]]], vocab: dict[str, int]) -> None:
+        self.docs, self.vocab = docs, vocab
+        lengths = np.array([len(w) + 1 for _, w in docs], np.int64)
+        self.begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        seq = np.ones(int(lengths.sum()), np.int64)  # symbol 1 ends each document
+        for (_, w), b in zip(docs, self.begins, strict=True):
+            seq[b : b + len(w)] = w
+        self.index = FMIndex(seq, len(vocab) + 2)
+
+    def search(self, phrases: Phrases, n: int) -> list[tuple[int, int, int, int]]:
+        """(item, doc, first word, end word) of the merged spans."""
+        number = np.array([self.vocab.get(w, -1) for w in phrases.vocab] or [-1], np.int64)
+        runs = number[phrases.runs]
+        known = np.flatnonzero((runs >= 0).all(axis=1))
+        if not len(known):
+            return []
+        unique, back = np.unique(runs[known], axis=0, return_inverse=True)
+        lo, hi = self.index.search(unique)
+        count = hi - lo
+        if not count.any():
+            return []
+        which = np.repeat(np.arange(len(unique)), count)
+        rows = np.repeat(lo, count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        pos = self.index.locate(rows)
+        doc = np.searchsorted(self.begins, pos, side="right") - 1
+        items_of: dict[int, set[int]] = defaultdict(set)
+        for r, u in zip(known.tolist(), back.ravel().tolist(), strict=True):
+            if count[u]:
+                items_of[u].add(int(phrases.owner[r]))
+        hits: dict[tuple[int, int], list[int]] = defaultdict(list)
+        for u, d, p in zip(which.tolist(), doc.tolist(), (pos - self.begins[doc]).tolist(), strict=True):
+            for item in items_of[u]:
+                hits[item, d].append(p)
+        out = []
+        for (item, d), places in hits.items():
+            places = sorted(set(places))
+            start = last = places[0]
+            for p in places[1:]:
+                if p > last + n:
+                    out.append((item, self.docs[d][0], start, last + n))
+                    start = p
+                last = p
+            out.append((item, self.docs[d][0], start, last + n))
+        return out
+
+
+def phrase_blocks(items: DataFrame, key: str, text: str, min_words: int, block_bytes: int) -> str:
+    """The folder of the items' phrases, in blocks of about so many bytes of text; items of one id stay together."""
+    spark = items.sparkSession
+    asked = items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("item"), F.col(text).alias("text"))
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, str]] = []
+        bytes_ = 0
+        for b in batches:
+            for item, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if held and bytes_ >= block_bytes and item != held[-1][0]:
+                    yield pa.RecordBatch.from_arrays([pa.array([Phrases.of(held, min_words).blob()], pa.binary())], names=["blob"])
+                    held, bytes_ = [], 0
+                held.append((item, t))
+                bytes_ += len(t)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([Phrases.of(held, min_words).blob()], pa.binary())], names=["blob"])
+
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    asked.repartition(max(1, -(-size // block_bytes)), "item").sortWithinPartitions("item").mapInArrow(pack, "blob binary").write.option("compression", "zstd").parquet(folder)
+    drop_at_end(spark, folder)
+    return folder
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(item_id, doc_id, word_from, word_to, char_from, char_to) of every leaked span.
 
     A span is a stretch of the document covered by runs of ``min_words`` words
-    of the item; ends are exclusive.  The items are the stated query set: they
-    go to every task, after their size has been checked (more raises; search
-    them in blocks).  Null and empty texts, on either side, and items of fewer
-    words give no rows; an item id that comes twice counts as one item with
-    both texts.  No shuffle of the corpus.
+    of the item; ends are exclusive.  The items are the stated query set: every
+    shard is searched for all of them, in blocks, so their number is not bound.
+    Null and empty texts, on either side, and items of fewer words give no
+    rows; an item id that comes twice counts as one item with both texts.  No
+    shuffle of the corpus.
     """
-    size = items.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0)).alias("b")).first()["b"]
-    if size > max_items_mb << 20:
-        raise ValueError(f"{size} bytes of items: search them in blocks of at most {max_items_mb} MB")
-    table = phrase_table([(r[0], r[1]) for r in items.where(F.col(item_key).isNotNull()).select(item_key, item_text).collect()], min_words)
-    shared = documents.sparkSession.sparkContext.broadcast(table)
+    folder = phrase_blocks(items, item_key, item_text, min_words, block_bytes)
 
-    def flush(docs, raw, vocab):
-        for item, d, a, b in search_shard(docs, vocab, shared.value, min_words):
-            yield item, d, a, b, raw[d]
+    def flush(docs: list, raw: list, vocab: dict[str, int]) -> Iterator[tuple]:
+        shard = Shard(docs, vocab)
+        for blob in read_blobs(folder):
+            for item, d, a, b in shard.search(Phrases.read(blob), min_words):
+                yield item, d, a, b, raw[d]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
@@ -238,7 +290,14 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", t
                 rows.append((item, d, a, b, spans[a][0], spans[b - 1][1]))
             else:  # lower-casing has changed the length: no offsets, but the words stand
                 rows.append((item, d, a, b, None, None))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["item_id", "doc_id", "word_from", "word_to", "char_from", "char_to"])
+            if len(rows) >= 10_000:
+                yield _rows(rows)
+                rows = []
+        yield _rows(rows)
 
     return spread(documents.select(key, text)).mapInArrow(run, "item_id long, doc_id long, word_from long, word_to long, char_from long, char_to long")
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["item_id", "doc_id", "word_from", "word_to", "char_from", "char_to"])
