@@ -104,28 +104,33 @@ def orphan_references(refs: DataFrame, targets: DataFrame, removed: DataFrame, *
     return known.groupBy("rng", "cut").cogroup(asked.groupBy("rng", "cut")).applyInPandas(_probe_range(True), REFERENCE_SCHEMA)
 
 
-def comment_references(comments: DataFrame, posts: DataFrame, removals: DataFrame, **kw) -> DataFrame:
-    """Orphan references of a comment table: parent_id to posts or comments, link_id to posts.
+#: Goes before a key that a field cannot resolve to, so that it only meets its removal.
+APART = "\x00"
+
 
-    Adds ``month`` (UTC, of the comment) to each row of :func:`orphan_references`.
-    A repeated id counts once, at its earliest ``ingested_at``.
+def record_references(rows: DataFrame, key: str, comments: DataFrame, posts: DataFrame, removals: DataFrame, *, seen: str | None = "ingested_at", **kw) -> DataFrame:
+    """Orphan references of a table with ``parent_id`` (to posts or comments) and ``link_id`` (to posts).
+
+    A repeated key counts once, at its earliest ``seen``; without ``seen`` no
+    reference is late.
     """
-    one = comments.groupBy("id").agg(F.min("parent_id").alias("parent_id"), F.min("link_id").alias("link_id"), F.min(tz("ingested_at")).alias("child_at"), F.min("created_utc").alias("created_utc"))
-    # a link_id may name posts only: its key is kept apart by the field, not by the string
-    refs = one.select(F.col("id").alias("child_id"), "child_at", F.explode(F.create_map(F.lit("parent_id"), F.col("parent_id"), F.lit("link_id"), F.col("link_id"))).alias("ref_field", "ref_key"))
-    post_keys = posts.select(F.concat(F.lit("t3_"), "id").alias("key"), F.col("ingested_at").alias("seen_at"))
-    comment_keys = comments.select(F.concat(F.lit("t1_"), "id").alias("key"), F.col("ingested_at").alias("seen_at"))
-    gone = removals.select(F.col("fullname").alias("key"))
-    to_any = refs.where("ref_field = 'parent_id' or not ref_key like 't1\\\\_%' escape '\\\\'")
-    out = orphan_references(to_any, post_keys.unionByName(comment_keys), gone, **kw)
-    # a link that names a comment cannot resolve; only its removal is looked up
-    wrong = refs.where("ref_field = 'link_id' and ref_key like 't1\\\\_%' escape '\\\\' and child_id is not null")
-    named = gone.where("key like 't1\\\\_%' escape '\\\\'").distinct().withColumn("hit", F.lit(True))
-    wrong = wrong.join(named, wrong.ref_key == named.key, "left").select("child_id", "ref_field", "ref_key", F.when(F.col("hit"), "deleted").otherwise("missing").alias("ref_state"))
-    return out.unionByName(wrong)
-
-
-def references_by_month(orphans: DataFrame, comments: DataFrame, table_name: str) -> DataFrame:
+    at = F.min(tz(seen)) if seen else F.lit(None).cast("timestamp")
+    one = rows.groupBy(key).agg(F.min("parent_id").alias("parent_id"), F.min("link_id").alias("link_id"), at.alias("child_at"))
+    # a link names posts only: one that names a comment is looked up among the removals alone
+    link = F.when(F.col("link_id").startswith("t1_"), F.concat(F.lit(APART), "link_id")).otherwise(F.col("link_id"))
+    refs = one.select(F.col(key).alias("child_id"), "child_at", F.explode(F.create_map(F.lit("parent_id"), F.col("parent_id"), F.lit("link_id"), link)).alias("ref_field", "ref_key"))
+    targets = posts.select(F.concat(F.lit("t3_"), "id").alias("key"), F.col("ingested_at").alias("seen_at")).unionByName(comments.select(F.concat(F.lit("t1_"), "id").alias("key"), F.col("ingested_at").alias("seen_at")))
+    gone = removals.select(F.explode(F.array(F.col("fullname"), F.when(F.col("fullname").startswith("t1_"), F.concat(F.lit(APART), "fullname")))).alias("key"))
+    out = orphan_references(refs, targets, gone, **kw)
+    return out.withColumn("ref_key", F.ltrim("ref_key", F.lit(APART)))
+
+
+def comment_references(comments: DataFrame, posts: DataFrame, removals: DataFrame, **kw) -> DataFrame:
+    """Orphan references of a comment table; see :func:`record_references`."""
+    return record_references(comments, "id", comments, posts, removals, **kw)
+
+
+def references_by_month(orphans: DataFrame, rows: DataFrame, table_name: str, key: str = "id") -> DataFrame:
     """Counts per table, month of the referring row (UTC, ``unknown`` if null), field and state."""
-    month = comments.groupBy("id").agg(F.min("created_utc").alias("created_utc")).select(F.col("id").alias("child_id"), F.coalesce(F.date_format(F.timestamp_seconds("created_utc"), "yyyy-MM"), F.lit("unknown")).alias("month"))
+    month = rows.groupBy(key).agg(F.min("created_utc").alias("created_utc")).select(F.col(key).alias("child_id"), F.coalesce(F.date_format(F.timestamp_seconds("created_utc"), "yyyy-MM"), F.lit("unknown")).alias("month"))
     return orphans.join(month, "child_id").groupBy(F.lit(table_name).alias("table_name"), "month", "ref_field", "ref_state").agg(F.count("*").alias("n_refs"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators.hierarchy import ancestor_pairs, descendant_counts, resolve_hierarchy
-from threadloom.operators.references import comment_references, references_by_month
+from threadloom.operators.references import comment_references, record_references, references_by_month
 from threadloom.runtime import stored, table
 
 
@@ -19,7 +19,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_by_month(spark: SparkSession, d: str) -> DataFrame:
-    return references_by_month(_orphans(spark, d), table(spark, d, "comments"), "comments")
+    """Of both tables that refer to posts and comments."""
+    chunks, comments = table(spark, d, "chunk_metadata"), table(spark, d, "comments")
+    of_chunks = record_references(chunks, "chunk_id", comments, table(spark, d, "posts"), table(spark, d, "removals"), seen=None)
+    return references_by_month(_orphans(spark, d), comments, "comments").unionByName(references_by_month(of_chunks, chunks, "chunk_metadata", "chunk_id"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -55,6 +58,10 @@ j as (select refs.*, t.first_at, t.k is not null as hit, r.k is not null as gone
       where refs.k is not null and trim(refs.k) <> ''),
 s as (select id, created_utc, ref_field, case when hit then case when first_at > seen then 'late' end when gone then 'deleted' else 'missing' end ref_state from j)
 """
+_P4_CHUNKS = """, ck as (select chunk_id as id, min(parent_id) parent_id, min(link_id) link_id, min(created_utc) created_utc from chunk_metadata where chunk_id is not null group by 1),
+kr as (select id, created_utc, 'parent_id' ref_field, parent_id k from ck union all select id, created_utc, 'link_id', link_id from ck),
+ks as (select kr.*, case when t.k is not null then null when r.k is not null then 'deleted' else 'missing' end ref_state from kr left join t on kr.k = t.k and (t.kind = 'post' or ref_field = 'parent_id') left join r on kr.k = r.k where kr.k is not null and trim(kr.k) <> '')
+"""
 _P6 = """
 with recursive c as (select id, min(parent_id) parent_id from comments where id is not null group by id),
 e as (select c.id, c.parent_id, p.id as pid from c left join c p on c.parent_id = 't1_' || p.id),
@@ -69,7 +76,7 @@ pairs as (select unnest(string_split(node_path, '/'))  as ancestor_id, comment_i
 """
 SQL = {
     "p4_found": _P4 + "select id as comment_id, ref_field, ref_state from s where ref_state is not null",
-    "p4_by_month": _P4 + "select 'comments' as table_name, coalesce(strftime(make_timestamp(created_utc * 1000000), '%Y-%m'), 'unknown') as month, ref_field, ref_state, count(*) as n_refs from s where ref_state is not null group by all",
+    "p4_by_month": _P4 + _P4_CHUNKS + "select table_name, coalesce(strftime(make_timestamp(created_utc * 1000000), '%Y-%m'), 'unknown') as month, ref_field, ref_state, count(*) as n_refs from (select 'comments' as table_name, created_utc, ref_field, ref_state from s union all select 'chunk_metadata', created_utc, ref_field, ref_state from ks) where ref_state is not null group by all",
     "p6_found": _P6 + "select comment_id, root_id, node_depth from r",
     "p6_paths": _P6 + "select comment_id, root_id, node_depth, node_path from r",
     "p6_descendant_pairs": _P6 + "select ancestor_id, comment_id, (n - i)::int as distance from pairs where i < n",
