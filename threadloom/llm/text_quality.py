@@ -1,16 +1,18 @@
 """Per-document text statistics that tell prose from lists, tables and junk.
 
-Every line of a text is put into one kind by combined rules; the shares of the
-kinds, by non-blank characters, say what the text mostly is.  A text that mostly
-repeats itself (duplicate lines and paragraphs, coverage by the commonest n-gram)
-is not prose either.  The usual counts stand beside them.
+Every line of a text is put into one kind by combined rules: its form (bullets,
+cells), the share of its characters in tokens that are neither words nor
+numbers, and how likely its letters follow each other in the common words.  The
+shares of the kinds, by non-blank characters, say what the text mostly is.  A
+text that mostly repeats itself (duplicate lines and paragraphs, coverage by
+the commonest n-gram, words in n-grams that came before) is not prose either.
+The usual counts stand beside them.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,14 +29,15 @@ NOT_TEXT = {"[deleted]", "[removed]"}
 
 _BULLET = re.compile(r"\s*(?:[-*+•·‣◦–—▪►→✅❌✔✗☐☑]\s*|\[[ xX✓]?\]\s*|\(?\d{1,3}[.)]\s+|\(?[a-zA-Z][.)]\s+)\S")
 _BOLD = re.compile(r"\s*(?:#{1,6}\s+\S.*|\*\*[^*]+\*\*:?\s*|__[^_]+__:?\s*)$")
-_LINK = re.compile(r"(?:https?://|www\.)\S+")
-_LOG = re.compile(r"\s*\[?(?:\d{4}-\d\d-\d\d[T ])?\d{1,2}:\d\d(?::\d\d)?\]?.*(?:\b(?:ERR|ERROR|WARN|WARNING|INFO|DEBUG|FATAL|TRACE)\b|0x[0-9a-fA-F]{4,}|\w+=\S+)")
 _RULE = re.compile(r"[\s|:+=-]{3,}$")
 _COLUMNS = re.compile(r"(?<=\S) {2,}(?=\S)")
-_BROKEN = re.compile("[ÃÂ][\u0080-¿‘-™ ]|â€|ðŸ|ï¿½|�|Ã.|â„")
-_ENCODED = re.compile(r"[A-Za-z0-9+/_=-]{40,}")
 _END = re.compile(r"[.!?…。！？:;\"'”’)\]]\s*$")
-_PERIODIC = re.compile(r"(.{1,12}?)\1{7,}", re.S)
+#: Punctuation that may stand around a word; signs of reckoning are none.
+_EDGE = "!\"#&'()*,-./:;?@[]_{}¡¿«»\u2010\u2011\u2012\u2013\u2014\u2015\u2018\u2019\u201a\u201c\u201d\u201e\u2026\u3001\u3002\u300c\u300d\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f"
+_JOINED = re.compile(r"[^\W\d_]+(?:['’./&-][^\W\d_]+)*")
+_NUMBER = re.compile(r"[-+~<>≈]?\d[\d.,:/+-]*[a-zA-Zµ°%]{0,4}|\d+(?:st|nd|rd|th)")
+#: ASCII letters in a row that are still a word.
+LONGEST_WORD = 40
 _LATIN = re.compile(r"[a-z]+")
 _VOWELS = set("aeiouy")
 _RARE = set("jqxzwvk")
@@ -88,28 +91,39 @@ def gibberish(word_list: list[str], pairs: frozenset[str]) -> bool:
     return sum(c in _VOWELS for c in joined) < 0.34 * letters and sum(c in _RARE for c in joined) > 0.12 * letters
 
 
-def mostly_periodic(compact: str) -> bool:
-    """Whether stretches of a repeated fragment of up to 12 characters make more than half of a text.
-
-    Such a text has at most as many different runs of four as its other half
-    and the fragments can show; the search is made only then.
-    """
-    n = len(compact)
-    if n < 12 or len({compact[i : i + 4] for i in range(n - 3)}) > 0.55 * n + 16 + 0.05 * n:
-        return False
-    return sum(len(m.group()) for m in _PERIODIC.finditer(compact)) > 0.5 * n
+def written(token: str) -> bool:
+    """Whether a token is a word of some script: letters with their marks, joined by punctuation of the script."""
+    for c in token:
+        k = unicodedata.category(c)
+        # symbols and controls of Latin-1 inside a word are a broken encoding
+        if k[0] not in "LM" and k != "Cf" and not (k[0] == "P" and ord(c) >= 0x300) and c not in "'-./&":
+            return False
+    return True
+
+
+def token_shares(line: str) -> tuple[int, int, int]:
+    """Characters of a line in words, in numbers and in other tokens; lone punctuation and pictographs count as nothing."""
+    words = numbers = other = 0
+    for t in line.split():
+        n = len(t)
+        e = t if t.isalpha() else t.strip(_EDGE)
+        if not e:
+            other += n if n > 3 else 0
+        elif e.isascii() and len(e) > LONGEST_WORD:
+            other += n
+        elif e.isalpha() or (_JOINED.fullmatch(e) if e.isascii() else written(e)):
+            words += n
+        elif _NUMBER.fullmatch(e):
+            numbers += n
+        elif n > 3 or not all(unicodedata.category(c) in ("So", "Mn", "Cf", "Sk") for c in e):
+            other += n
+    return words, numbers, other
 
 
 def line_kind(line: str, pairs: frozenset[str] = frozenset()) -> int:
     """The kind of one non-blank line, looked at alone."""
     text = line.strip()
     n = len(text)
-    compact = "".join(text.split())
-    links = "".join(_LINK.findall(text))
-    if links and len(links) > 0.7 * len(compact):
-        return JUNK
-    if _LOG.match(text) and n < 200:
-        return JUNK
     if text.count("|") >= 2 or (text.count("|") == 1 and n < 40):
         return TABLE
     if _RULE.match(text) and n >= 3:
@@ -126,18 +140,10 @@ def line_kind(line: str, pairs: frozenset[str] = frozenset()) -> int:
     if _BULLET.match(line) or _BOLD.match(line):
         return LIST
     w = WORD.findall(text.lower())
-    letters = sum(map(len, w))
-    if n >= 4 and letters < 0.5 * len(compact) and sum(unicodedata.category(c)[0] in "PS" for c in compact if ord(c) < 0x2000) > 0.5 * len(compact):
-        return JUNK
     if len(w) >= 3 and sum(x.isdigit() for x in w) >= 0.6 * len(w):
         return TABLE
-    if sum(map(len, _ENCODED.findall(text))) > 0.5 * len(compact):
-        return JUNK
-    if mostly_periodic(compact):
-        return JUNK
-    if len(_BROKEN.findall(text)) >= max(2, 0.03 * n):
-        return JUNK
-    if len(w) >= 8 and len(set(w)) <= 0.25 * len(w):
+    plain, numbers, other = token_shares(text)
+    if other > plain + numbers:
         return JUNK
     if gibberish(w, pairs):
         return JUNK
@@ -151,7 +157,7 @@ def kind_shares(text: str, pairs: frozenset[str] = frozenset()) -> tuple[float,
     """Shares of list, table and junk lines in a text, by non-blank characters.
 
     Three or more short lines in a row without an end of sentence are a list
-    without bullets; a text whose lines keep returning is junk as a whole.
+    without bullets.
     """
     lines = [x for x in text.splitlines() if x.strip()]
     if not lines:
@@ -170,14 +176,8 @@ def kind_shares(text: str, pairs: frozenset[str] = frozenset()) -> tuple[float,
         i = max(j, i + 1)
     total = sum(sizes)
     shares = [sum(s for s, k in zip(sizes, kinds, strict=True) if k == want) / total for want in (LIST, TABLE, JUNK)]
-    compact = "".join(text.split())
-    if shares[0] + shares[1] < 0.5:
-        if len(compact) >= LEAST_CHARS and (len(lines) > 1 or kinds[0] != PROSE) and mostly_periodic(compact):
-            shares[2] = 1.0
-        elif len(compact) >= 120 and len(zlib.compress(compact.encode("utf-8", "surrogatepass"), 1)) < 0.12 * len(compact.encode("utf-8", "surrogatepass")):
-            shares[2] = 1.0
-        elif len(lines) > 1 and gibberish(WORD.findall(text.lower()), pairs):
-            shares[2] = 1.0
+    if shares[0] + shares[1] < 0.5 and len(lines) > 1 and gibberish(WORD.findall(text.lower()), pairs):
+        shares[2] = 1.0
     return shares[0], shares[1], shares[2]
 
 
@@ -202,21 +202,48 @@ def repeat_share(parts: list[str]) -> float:
     return twice / total if total else 0.0
 
 
+def repeated_words(w: list[str], n: int = 6) -> float:
+    """Share of the words' characters in n-grams that have come before; of a single word without blanks, in its n-grams of letters."""
+    if len(w) < n + 2:
+        w = list("".join(w))
+        n = 8
+        if len(w) < 4 * n:
+            return 0.0
+    seen: set[tuple[str, ...]] = set()
+    covered, upto, total = 0, 0, sum(map(len, w))
+    for i, g in enumerate(zip(*(w[k:] for k in range(n)), strict=False)):
+        if g in seen:
+            covered += sum(map(len, w[max(i, upto) : i + n]))
+            upto = i + n
+        else:
+            seen.add(g)
+    return covered / total
+
+
 def repetition(text: str, w: list[str]) -> tuple[tuple[float, ...], bool]:
-    """Shares of duplicate lines and paragraphs and of the commonest 2-, 3- and 4-gram; whether the text mostly repeats itself.
+    """Shares of duplicate lines and paragraphs, of the commonest 2-, 3- and 4-gram and of words in repeated n-grams; whether the text mostly repeats itself.
 
-    It does if more than half of it is lines or paragraphs that came before, or
-    one 3- or 4-gram that comes three times or more.
+    It does if more than half of it is lines or paragraphs that come twice or
+    more, one 3- or 4-gram that comes three times or more, or words in n-grams
+    that came before.
     """
     lines = [x.strip() for x in text.splitlines() if x.strip()]
     paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()] if len(lines) > 1 else lines
     twice = repeat_share(lines), repeat_share(paragraphs)
     grams = [top_gram(w, n) for n in (2, 3, 4)]
-    return (*twice, *(share for share, _ in grams)), max(twice) > 0.5 or any(share > 0.5 and count > 2 for share, count in grams[1:])
+    again = repeated_words(w)
+    repeats = again > 0.5 or any(share > 0.5 and count > 2 for share, count in grams[1:]) or max(twice) > 0.3 and max(map(copied_share, (lines, paragraphs))) > 0.5
+    return (*twice, *(share for share, _ in grams), again), repeats
+
+
+def copied_share(parts: list[str]) -> float:
+    """Share of characters in parts that come twice or more."""
+    count = Counter(parts)
+    return sum(len(p) for p in parts if count[p] > 1) / max(1, sum(map(len, parts)))
 
 
-FIELDS = ("n_chars", "n_tokens", "n_words", "mean_word_len", "symbol_ratio", "end_punct_share", "common_share", "dup_line_share", "dup_paragraph_share", "top_2gram", "top_3gram", "top_4gram", "list_share", "table_share", "junk_share", "is_prose")
-_TYPES = (pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 12, pa.bool_())
+FIELDS = ("n_chars", "n_tokens", "n_words", "mean_word_len", "symbol_ratio", "end_punct_share", "common_share", "dup_line_share", "dup_paragraph_share", "top_2gram", "top_3gram", "top_4gram", "repeated_words", "list_share", "table_share", "junk_share", "is_prose")
+_TYPES = (pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 13, pa.bool_())
 SCHEMA = "table_name string, row_key string, " + ", ".join(f"{f} {'long' if t == pa.int64() else 'boolean' if t == pa.bool_() else 'double'}" for f, t in zip(FIELDS, _TYPES, strict=True))
 
 
@@ -233,7 +260,7 @@ def statistics(text: str | None, common: frozenset[str], full: bool = True, pair
     judged = len(text) >= LEAST_CHARS and text not in NOT_TEXT
     shares = kind_shares(text, pairs) if judged or full else (0.0, 0.0, 0.0)
     w = WORD.findall(text.lower()) if judged or full else []
-    repeats, repeated = repetition(text, w) if judged or full else ((0.0,) * 5, False)
+    repeats, repeated = repetition(text, w) if judged or full else ((0.0,) * 6, False)
     prose = not (judged and (sum(shares) > 0.5 or repeated))
     if not full:
         return (len(text), n_tokens, len(w), *[0.0] * 4, *repeats, *shares, prose)
