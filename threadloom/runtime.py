@@ -1,14 +1,11 @@
-"""Session-level helpers: settings, table access, checkpoints, Arrow map functions."""
+"""Session-level helpers: settings, table access, intermediate tables, spreading."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -67,12 +64,6 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def drop_at_end(spark: SparkSession, folder: str) -> None:
     """Have the file system drop a folder when the application ends."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -88,11 +79,7 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
-def spread(df: DataFrame, rows_per_task: int = 0) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Round-robin a table over at least as many tasks as there are cores.
 
     A parquet file of one row group is one task however many cores wait; work
@@ -105,11 +92,6 @@ def spread(df: DataFrame, rows_per_task: int = 0) -> DataFrame:
     return df if have >= want else df.repartition(want)
 
 
-def empty_like(schema: str) -> pd.DataFrame:
-    names = [c.strip().split()[0] for c in schema.split(",")]
-    return pd.DataFrame({n: [] for n in names})
-
-
 def small_or_shuffled(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
     """A table with a broadcast hint if its rows take few bytes; a larger one is left to a shuffled join.
 
