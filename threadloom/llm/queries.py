@@ -56,7 +56,7 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     common = table(spark, d, "common_words")
-    bodies = text_statistics(spread(keyed_text(table(spark, d, "comments"), "comments", "id", "body").where("row_key is not null")), common, full=False)
+    bodies = text_statistics(spread(keyed_text(table(spark, d, "comments"), "comments", "id", "body").where("row_key is not null")), common)
     junk = bodies.where("not is_prose").select("table_name", "row_key")
     chunks = table(spark, d, "chunk_metadata").where("chunk_id is not null")
     counted = text_tokens(spread(chunks.select(F.lit("chunk_metadata").alias("table_name"), F.col("chunk_id").alias("row_key"), "text", "word_count")), carry="word_count")

@@ -247,29 +247,24 @@ _TYPES = (pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 13, pa.bool_())
 SCHEMA = "table_name string, row_key string, " + ", ".join(f"{f} {'long' if t == pa.int64() else 'boolean' if t == pa.bool_() else 'double'}" for f, t in zip(FIELDS, _TYPES, strict=True))
 
 
-def statistics(text: str | None, common: frozenset[str], full: bool = True, pairs: frozenset[str] = frozenset()) -> tuple:
+def statistics(text: str | None, common: frozenset[str], pairs: frozenset[str] = frozenset()) -> tuple:
     """The statistics of one text, in the order of FIELDS; of a null text as of an empty one.
 
-    Without ``full`` only the counts and what ``is_prose`` needs are worked out.
     A text is not prose if it has LEAST_CHARS characters and more than half of
     its non-blank ones are in list, table or junk lines, or if it mostly repeats
     itself.
     """
     text = text or ""
-    n_tokens = len(text.split())
     judged = len(text) >= LEAST_CHARS and text not in NOT_TEXT
-    shares = kind_shares(text, pairs) if judged or full else (0.0, 0.0, 0.0)
-    w = WORD.findall(text.lower()) if judged or full else []
-    repeats, repeated = repetition(text, w) if judged or full else ((0.0,) * 6, False)
-    prose = not (judged and (sum(shares) > 0.5 or repeated))
-    if not full:
-        return (len(text), n_tokens, len(w), *[0.0] * 4, *repeats, *shares, prose)
+    shares = kind_shares(text, pairs)
+    tokens = text.split()
+    w = WORD.findall(text.lower())
+    repeats, repeated = repetition(text, w)
     lines = [x.strip() for x in text.splitlines() if x.strip()]
-    letters = sum(map(len, w))
-    solid = sum(map(len, text.split()))
+    letters, solid = sum(map(len, w)), sum(map(len, tokens))
     return (
         len(text),
-        n_tokens,
+        len(tokens),
         len(w),
         letters / len(w) if w else 0.0,
         (solid - letters) / solid if solid else 0.0,
@@ -277,11 +272,11 @@ def statistics(text: str | None, common: frozenset[str], full: bool = True, pair
         sum(x in common for x in w) / len(w) if w else 0.0,
         *repeats,
         *shares,
-        prose,
+        not (judged and (sum(shares) > 0.5 or repeated)),
     )
 
 
-def text_statistics(df: DataFrame, common_words: DataFrame, *, full: bool = True, most_words: int = 1_000_000) -> DataFrame:
+def text_statistics(df: DataFrame, common_words: DataFrame, *, most_words: int = 1_000_000) -> DataFrame:
     """Statistics of every row of (table_name, row_key, text).
 
     ``common_words``: (word), a list of bounded size (more than ``most_words``
@@ -297,7 +292,7 @@ def text_statistics(df: DataFrame, common_words: DataFrame, *, full: bool = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [statistics(t, common, full, pairs) for t in b.column(2).to_pylist()]
+            rows = [statistics(t, common, pairs) for t in b.column(2).to_pylist()]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(FIELDS)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True))], names=["table_name", "row_key", *FIELDS])
 
