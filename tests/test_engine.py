@@ -334,6 +334,18 @@ def test_streamed_arrivals(spark, tmp_path):
     assert got == [(0, 1), (1, 1)]
 
 
+def test_streamed_index(spark, tmp_path):
+    from threadloom.streaming.ingest import comment_stream, index_stream
+
+    schema = "chunk_id string, text string"
+    provider = lambda t: [[float(len(x))] for x in t] if "bad" not in t else 1 / 0
+    for rows in ([("a", "x"), ("a", "x"), ("b", "bad")], [("a", "longer"), ("c", "")]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        index_stream(comment_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "c"), str(tmp_path / "cp"), provider=provider, batch=1, tries=1)
+    assert {(r.chunk_id, r.vector[0]) for r in spark.read.parquet(str(tmp_path / "c")).collect()} == {("a", 6.0), ("c", 0.0)}
+    assert [r.chunk_id for r in spark.read.parquet(str(tmp_path / "c.failed")).collect()] == ["b"]
+
+
 def test_allocation(spark):
     pool = spark.createDataFrame([(f"c{i}", "ab"[i % 2] if i < 6 else "z") for i in range(7)], "chunk_id string, stratum string")
     got = {r.stratum: r.target for r in R.allocation(pool, F.lit(4)).collect()}

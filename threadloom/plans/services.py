@@ -265,6 +265,19 @@ def k10_gate_report(s, d):
     return T.json_report("gate_report_v1", metrics=G.gate_metrics(c), buckets=G.short_buckets(c))
 
 
+def k10_reports(s, d):
+    """(name, report): the reports of schema, coverage, chunks, depth, enrichment and judges."""
+    parts = {
+        "schema": {"fields": I.a5_field_presence(s, d), "threads": I.a6_thread_structure(s, d)}, "coverage": {"months": I.j17_coverage(s, d)}, "chunks": {"statistics": I.a9_chunk_stats(s, d), "exclusions": I.f1_exclusion_reason(s, d)},
+        "depth": {"histogram": I.a10_depth_histogram(s, d), "counters": a10_depth_counters(s, d)}, "enrichment": {"join": a19_join_counters(s, d)}, "index": {"candidates": k11_manifest(s, d)}, "judge": {"models": r16_bakeoff(s, d)},
+    }
+    out = None
+    for name, p in parts.items():
+        one = T.json_report(f"{name}_report_v1", **{k: df.select(*sorted(df.columns)) for k, df in p.items()}).select(F.lit(name).alias("name"), "report")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def k11_candidate_report(s, d):
     return T.candidate_report(_golden(s, d), _found(s, d), _chunks(s, d)).select("query_id", F.md5("markdown").alias("markdown_md5"))
 
@@ -282,7 +295,7 @@ def j15_compare_ordinals(s, d):
     return T.compare_ordinals(q.withColumn("score", F.length("query") % 5 + 0.5), q.where("ordinal % 4 <> 0").withColumn("query", F.concat("query", F.lit(" "))).withColumn("score", F.length("query") % 3 + 0.25).unionByName(q.where("ordinal % 4 = 0").withColumn("score", F.lit(1.0))))
 
 
-QUERIES = {f.__name__: f for f in (r8_eval_corpus, k9_corpus_meta, j8_lookup, u4_missing_keys, u3_unexpected_fields, tk8_qa_sample, f12_golden_filter, f12_golden_missing, f13_source_toggle, s6_indexed_posts, j4_summary_join, a19_join_counters, e6_enrich, a19_enrichment_counters, k4_embedded, compose_policies, k5_index_properties, a10_depth_counters, a10_chain_counters, a3_percentages, p26_rewrites, r22_clarification, p34_prompts, p21_judge_scores, a18_query_means, r19_verified, j13_verdicts, a20_citation_coverage, r20_synthesis, r16_bakeoff, r21_answers, r24_presentation, k10_gate_report, k11_candidate_report, k11_manifest, k12_full_text_report, j15_compare_ordinals)}
+QUERIES = {f.__name__: f for f in (r8_eval_corpus, k9_corpus_meta, j8_lookup, u4_missing_keys, u3_unexpected_fields, tk8_qa_sample, f12_golden_filter, f12_golden_missing, f13_source_toggle, s6_indexed_posts, j4_summary_join, a19_join_counters, e6_enrich, a19_enrichment_counters, k4_embedded, compose_policies, k5_index_properties, a10_depth_counters, a10_chain_counters, a3_percentages, p26_rewrites, r22_clarification, p34_prompts, p21_judge_scores, a18_query_means, r19_verified, j13_verdicts, a20_citation_coverage, r20_synthesis, r16_bakeoff, r21_answers, r24_presentation, k10_gate_report, k10_reports, k11_candidate_report, k11_manifest, k12_full_text_report, j15_compare_ordinals)}
 
 _CORPUS = _CAND + """, best as (select chunk_id from pos order by score desc, chunk_id limit 25),
 pool as (select chunk_id, chunk_type || '|' || case when v <= 0 then 'low' when v <= 10 then 'mid' else 'high' end || '|' || coalesce(year(make_timestamp(created_utc * 1000000))::varchar, 'unknown') as stratum
@@ -380,3 +393,20 @@ select g.query_id, md5('## ' || g.query_id || ' — ' || coalesce(category, '')
 select (row_number() over (order by length(query_id), query_id))::int as ordinal, query_id, md5('## ' || query_id || ' — ' || coalesce(category, '') || chr(10) || chr(10) || '**Query:** ' || coalesce(query, '') || chr(10) || chr(10) || '**Notes:** ' || coalesce(notes, '') || chr(10) || chr(10) || '**Expected terms:** ' || array_to_string(expected_terms, ', ') || chr(10) || chr(10) || r) as markdown_md5 from {_GOLD} join b using (query_id)""",
     "j15_compare_ordinals": "with q as (select substr(id, 2)::int as ordinal, query from golden_queries), b as (select *, (length(query) % 5 + 0.5)::double as score_a, case when ordinal % 4 <> 0 then (length(query) + 1) % 3 + 0.25 else 1.0 end::double as score_b from q) select ordinal, query, score_a, score_b, round(score_b - score_a, 6)::double as delta from b",
 }
+
+
+def _reports_sql() -> str:
+    every = {**I.SQL, **SQL}
+    columns = {
+        "a5_field_presence": ("field", "n", "present", "sentinel"), "a6_thread_structure": ("other_links", "t1_parents", "t3_links", "t3_parents", "unknown_parents"), "j17_coverage": ("month", "n_comments", "n_posts"), "a9_chunk_stats": ("avg_chunks", "max_chunks", "n_chunks", "n_multi", "n_records", "n_single"), "f1_exclusion_reason": ("n", "reason"),
+        "a10_depth_histogram": ("bucket", "n"), "a10_depth_counters": ("missing_depth", "missing_parent", "sentence_missing", "sentence_present", "total_chunks", "with_depth", "with_other_parent", "with_t1_parent", "with_t3_parent"), "a19_join_counters": ("missing_lookup", "total_chunks", "with_summary"), "k11_manifest": ("candidate_count", "category", "query_id"), "r16_bakeoff": ("criterion", "mean", "model"),
+    }
+    parts = {"schema": {"fields": "a5_field_presence", "threads": "a6_thread_structure"}, "coverage": {"months": "j17_coverage"}, "chunks": {"statistics": "a9_chunk_stats", "exclusions": "f1_exclusion_reason"}, "depth": {"histogram": "a10_depth_histogram", "counters": "a10_depth_counters"}, "enrichment": {"join": "a19_join_counters"}, "index": {"candidates": "k11_manifest"}, "judge": {"models": "r16_bakeoff"}}
+    rows = []
+    for name, p in parts.items():
+        body = " || ',' || ".join(f"""'"{k}":' || (select to_json(list(struct_pack({", ".join(f"{c} := {c}" for c in columns[q])}) order by {", ".join(columns[q])}))::varchar from ({every[q]}) t)""" for k, q in p.items())
+        rows.append(f"""select '{name}' as name, '{{"schema":"{name}_report_v1",' || {body} || '}}' as report""")
+    return " union all ".join(rows)
+
+
+SQL["k10_reports"] = _reports_sql()

@@ -1,4 +1,4 @@
-"""Comments as a stream: monthly counts of what has arrived, in available-now batches."""
+"""What arrives as a stream, in available-now batches: counts of comments by day, objects into a collection."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators.gates import MIN_WORDS, exclusion_reason, word_count
 from threadloom.runtime import tz
+from threadloom.sources.collections import ingest
 
 
 def comment_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -23,3 +24,16 @@ def arrivals(stream: DataFrame, late: str = "2 days") -> DataFrame:
 def run_available(df: DataFrame, name: str, checkpoint: str) -> None:
     q = df.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def index_stream(stream: DataFrame, path: str, checkpoint: str, **kw) -> None:
+    """Bring what has arrived of a stream of objects into a collection, batch by batch; a batch that runs again changes nothing.
+
+    Objects that cannot be embedded are appended to ``path`` + ``.failed``.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        failed = ingest(df.dropDuplicates(["chunk_id"]), path, **kw)
+        failed.select("chunk_id", "error").write.mode("append").parquet(f"{path}.failed")
+
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
