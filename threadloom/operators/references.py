@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.runtime import shuffle_partitions, tz
+from threadloom.runtime import estimated_bytes, shuffle_partitions, tz
 
 REFERENCE_SCHEMA = "child_id string, ref_field string, ref_key string, ref_state string"
 #: Code points that count as white space; F.trim knows U+0020 only.
@@ -88,7 +88,8 @@ def orphan_references(refs: DataFrame, targets: DataFrame, removed: DataFrame, *
     spark = refs.sparkSession
     live = targets.where("key is not null").select("key", F.unix_micros(tz("seen_at")).alias("t"), F.lit(1).alias("e"))
     gone = removed.where("key is not null").select("key", F.lit(None).cast("long").alias("t"), F.lit(0).alias("e"))
-    ranges = max(shuffle_partitions(spark), targets.count() // keys_per_range + 1)
+    # the number of ranges needs the order of magnitude only: a key and its time take some 24 bytes
+    ranges = min(max(shuffle_partitions(spark), estimated_bytes(targets) // (24 * keys_per_range) + 1), 1_000_000)
     known = live.unionByName(gone).groupBy("key").agg(F.min("t").alias("first_at"), (F.max("e") == 1).alias("is_there"))
     known = known.withColumn("h", F.xxhash64("key")).withColumn("rng", hash_range(F.col("key"), ranges))
     asked = (

@@ -79,6 +79,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a table's size; no job is run."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a table over at least as many tasks as there are cores.
 
