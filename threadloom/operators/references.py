@@ -89,7 +89,9 @@ def orphan_references(refs: DataFrame, targets: DataFrame, removed: DataFrame, *
     live = targets.where("key is not null").select("key", F.unix_micros(tz("seen_at")).alias("t"), F.lit(1).alias("e"))
     gone = removed.where("key is not null").select("key", F.lit(None).cast("long").alias("t"), F.lit(0).alias("e"))
     # the number of ranges needs the order of magnitude only: a key and its time take some 24 bytes
-    ranges = min(max(shuffle_partitions(spark), estimated_bytes(targets) // (24 * keys_per_range) + 1), 1_000_000)
+    size = estimated_bytes(targets)
+    keys = targets.count() if size is None else size // 24
+    ranges = max(shuffle_partitions(spark), keys // keys_per_range + 1)
     known = live.unionByName(gone).groupBy("key").agg(F.min("t").alias("first_at"), (F.max("e") == 1).alias("is_there"))
     known = known.withColumn("h", F.xxhash64("key")).withColumn("rng", hash_range(F.col("key"), ranges))
     asked = (

@@ -79,9 +79,10 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The planner's estimate of a table's size; no job is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The planner's estimate of a table's size, None where it has none; no job is run."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else None
 
 
 def spread(df: DataFrame) -> DataFrame:
