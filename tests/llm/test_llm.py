@@ -79,6 +79,15 @@ def test_large_nodes_are_cut_into_blocks(spark, monkeypatch):
     assert got == want and len(want) > 1000
 
 
+def test_copies_meet_no_copies(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "PACK", 16)
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = keyed(spark, [base] * 700 + [base + " and more of it"] * 300).repartition(3)
+    links, compared = near_duplicates.similar_texts(rows.select(F.lit("t").alias("space"), "text"), n=3, threshold=0.5)
+    assert links.count() == 1 and compared.distinct().count() == 2
+    assert near_duplicates.similar_records(rows, n=3, threshold=0.5).count() == 699 + 299 + 1
+
+
 def test_large_class_of_copies_is_a_star(spark, monkeypatch):
     text = " ".join(f"w{i}" for i in range(60))
     rows = keyed(spark, [text] * 40 + [text + " more"])
