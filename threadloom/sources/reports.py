@@ -65,6 +65,19 @@ def full_text_report(queries: DataFrame, found: DataFrame, chunks: DataFrame) ->
     return q.select(F.row_number().over(Window.orderBy(F.length("query_id"), "query_id")).alias("ordinal"), "query_id", F.concat(head, F.array_join(F.transform("r", lambda x: x["b"]), "\n\n")).alias("markdown"))
 
 
+def write_report(spark: SparkSession, folder: str, stem: str, report: str) -> int:
+    """Write a report as the next ``stem_N.json`` of a folder; gives its number."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    names = (re.fullmatch(rf"{re.escape(stem)}_(\d+)\.json", f.getPath().getName()) for f in system.listStatus(path))
+    number = max((int(m[1]) for m in names if m), default=0) + 1
+    out = system.create(spark._jvm.org.apache.hadoop.fs.Path(path, f"{stem}_{number}.json"), False)
+    out.write(bytearray(report.encode()))
+    out.close()
+    return number
+
+
 def discover_reports(spark: SparkSession, folder: str, stem: str) -> DataFrame:
     """(number, report): the JSON documents ``stem_N.json`` of a folder, one row each; other files are left out."""
     files = spark.read.option("wholetext", True).text(f"{folder}/{stem}_*.json").select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("report"))
