@@ -63,6 +63,9 @@ _PROPER_STREET = re.compile(rf"{_FLAT}{_HOUSE}{_SPACE}(?:{_PROPER}{_SPACE}){{1,4
 _LOWER_STREET = re.compile(rf"(?i:{_FLAT}){_HOUSE}{_SPACE}(?:[a-z][a-z'’-]+{_SPACE}){{1,3}}(?:{_ANY_STREET})\b")
 _FOREIGN_STREET = re.compile(rf"{_HOUSE},?{_SPACE}(?:bis{_SPACE})?(?i:{'|'.join(STREET_STARTS)}){_SPACE}(?:(?:de|des|du|della|de la|del|la|le|l'|da|do){_SPACE})?{_PROPER}(?:{_SPACE}{_PROPER}){{0,3}}{_TOWN}")
 _GERMAN_STREET = re.compile(rf"\b[A-ZÄÖÜ][\wäöüß-]*(?i:{'|'.join(STREET_ENDS)}\.?){_SPACE}\d{{1,4}}[a-z]?\b")
+#: House number, postcode, town; the street's words stand before it.
+_POSTED = re.compile(rf"\d{{1,4}}[a-zA-Z]?,?{_SPACE}(?:[A-Z]{{1,2}}-)?\d{{4,5}}{_SPACE}[^\W\d_a-z][^\W\d_A-Z]{{2,}}(?:[ -][^\W\d_a-z][^\W\d_A-Z]{{2,}})?")
+_STREET_WORDS = re.compile(rf"(?:[^\W\d_a-z][\w'’.-]*{_SPACE}){{1,3}}$")
 _SMALL = frozenset("of the a an to and or is are was were in on at for with without after before into mg mcg ml iu drops scoops capsules days weeks months hours years minutes mornings cycles flares sessions visits weekends steps times percent blocks miles km more less than that this my your down per".split())
 _NUMBERED = re.compile(r"^(?:(?:flat|apt\.?|apartment|unit|suite)\s+\d+[a-z]?,?\s+)?\d+[a-z]?\b")
 _APART = re.compile(r"[\W_]")
@@ -143,6 +146,11 @@ class Finder:
             hits += self._numbers(text, low, figures, at)
             if at.of("street"):
                 hits += self._streets(text, low, figures, at)
+            for d in figures:
+                m = _POSTED.match(text, d)
+                words = _STREET_WORDS.search(text, max(0, d - 80), d) if m else None
+                if words and words.group().split()[-1].lower() not in NOT_NAMES:
+                    hits.append((words.start(), m.end(), "address"))
             for s, _, _ in at.of("ends"):
                 while s > 0 and (text[s - 1].isalnum() or text[s - 1] == "-"):
                     s -= 1
