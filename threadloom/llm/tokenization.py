@@ -19,10 +19,12 @@ import os
 import re
 from collections.abc import Iterator
 from itertools import chain
+from pathlib import Path
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = os.environ.get("THREADLOOM_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
@@ -122,16 +124,24 @@ class Transducer:
         return out
 
 
-def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+def load_ranks(path: str = VOCABULARY, data: bytes | None = None) -> dict[bytes, int]:
+    """Token to id, of a vocabulary file or of what was read of one."""
+    lines = (Path(path).read_bytes() if data is None else data).splitlines()
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
+def shipped(spark: SparkSession, path: str, most_bytes: int = 64 << 20) -> Broadcast:
+    """A vocabulary file of the driver, for the workers; no public one is near the bound, beyond which this raises."""
+    if os.path.getsize(path) > most_bytes:
+        raise ValueError(f"{path} is no vocabulary")
+    return spark.sparkContext.broadcast(Path(path).read_bytes())
 
 
 class Encoder:
     """Split pattern, transducer and memo of pieces."""
 
-    def __init__(self, path: str = VOCABULARY) -> None:
-        self.fst = Transducer(load_ranks(path))
+    def __init__(self, path: str = VOCABULARY, data: bytes | None = None) -> None:
+        self.fst = Transducer(load_ranks(path, data))
         self.split = regex.compile(PATTERN).findall
         self.split_ascii = ASCII_PATTERN.findall
         self.memo: dict[str, list[int]] = {}
@@ -154,9 +164,9 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str = VOCABULARY) -> Encoder:
+def encoder(path: str = VOCABULARY, data: Broadcast | None = None) -> Encoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, data.value if data else None)
     return _ENCODERS[path]
 
 
@@ -181,9 +191,10 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", *, voc
     that comes twice gives two rows.  No shuffle.
     """
     kind = df.schema[key].dataType.simpleString()
+    data = shipped(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, data)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
@@ -196,9 +207,10 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", *, voc
 def decode_corpus(df: DataFrame, key: str = "doc_id", ids: str = "ids", *, vocabulary: str = VOCABULARY, window: int = 4096) -> DataFrame:
     """(key, text) of encoded rows, decoded as a stream of ``window`` ids at a time; null ids give null."""
     kind = df.schema[key].dataType.simpleString()
+    data = shipped(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        back = encoder(vocabulary).fst.bytes_of
+        back = encoder(vocabulary, data).fst.bytes_of
         for b in batches:
             texts = []
             for row in b.column(1).to_pylist():
