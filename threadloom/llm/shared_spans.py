@@ -34,7 +34,7 @@ SELECT = 44
 WINDOW = MIN_CHARS - 2 * EROSION - SELECT - LONGEST
 #: Classes of exact copies up to this size are written out as pairs; larger ones as pairs with their first member.
 EXPAND = 32
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _FAR = 1 << 30
