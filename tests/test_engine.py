@@ -11,7 +11,7 @@ from threadloom.operators import answers as A
 from threadloom.operators import corpus, replies, service
 from threadloom.operators import retrieval as R
 from threadloom.operators.chunking import tokens, windows
-from threadloom.operators.gates import exclusion_reason, gap_flags, is_agreement, is_thanks
+from threadloom.operators.gates import exclusion_reason, gap_flags, with_reply_flags
 from threadloom.operators.records import metric_deltas
 from threadloom.sources import collections, reports
 from threadloom.sources.collections import clone_collection
@@ -48,8 +48,8 @@ def test_first_sentence(spark, text, want):
 
 @pytest.mark.parametrize(("text", "agrees", "thanks"), [("", True, False), (None, True, False), ("👩‍⚕️", True, False), ("!!!", True, False), ("yes I do", True, False), ("yes I do not think it is so", False, False), ("Thank you, same here", True, True), ("nope", False, False)])
 def test_replies(spark, text, agrees, thanks):
-    assert one(spark, text, is_agreement(F.col("x"))) is agrees
-    assert one(spark, text, is_thanks(F.col("x"))) is thanks
+    r = with_reply_flags(spark.createDataFrame([(text, 1)], "body string, _x int")).first()
+    assert (r.agrees, r.thanks) == (agrees, thanks)
 
 
 def test_exclusion_order(spark):

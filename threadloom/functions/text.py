@@ -29,11 +29,14 @@ def ustrip(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """White-space separated tokens; none of a null or blank text."""
-    return F.filter(F.split(F.coalesce(c, F.lit("")), f"{WS}+"), lambda x: x != "")
+    s = ustrip(F.coalesce(c, F.lit("")))
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, f"{WS}+"))
 
 
 def word_count(c: Column) -> Column:
-    return F.size(tokens(c)).cast("long")
+    """Number of tokens; what has been stripped splits into nothing else."""
+    s = ustrip(F.coalesce(c, F.lit("")))
+    return F.when(s == "", 0).otherwise(F.size(F.split(s, f"{WS}+"))).cast("long")
 
 
 def without_punctuation(c: Column) -> Column:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import blank_to_null, let, month, tokens, ustrip, without_punctuation, word_count
+from threadloom.functions.text import blank_to_null, month, tokens, ustrip, without_punctuation, word_count
 
 MIN_WORDS = 25
 # fixed values: phrases, whole replies and openers that mark a reply as agreement or thanks
@@ -56,26 +56,18 @@ def post_exclusion_reason() -> Column:
     return _sentinel(F.col("selftext"), F.when(~F.coalesce("is_self", F.lit(True)), "not_self")).when(F.col("distinguished") == "moderator", "moderator")
 
 
-def _classified(body: Column, phrases, exact, openers, empty: bool) -> Column:
+def _judged(t: Column, clean: Column, n: Column, first: Column, phrases, exact, openers, empty: bool) -> Column:
+    """The rules in turn: nothing said, a phrase, nothing but punctuation, a whole reply, a short one with an opener."""
     spoken = "|".join(map(re.escape, phrases))
+    return F.when(t == "", empty).when(t.rlike(spoken), True).when(clean == "", empty).when(clean.isin(*exact), True).otherwise((n <= 5) & first.isin(*openers))
 
-    def cleaned(clean: Column) -> Column:
-        short = let(tokens(clean), lambda w: (F.size(w) <= 5) & F.element_at(w, 1).isin(*openers))
-        return F.when(clean == "", empty).when(clean.isin(*exact), True).otherwise(short)
 
-    def judged(t: Column) -> Column:
-        return F.when(t == "", empty).when(t.rlike(spoken), True).otherwise(let(without_punctuation(t), cleaned))
-
-    return let(F.lower(ustrip(F.coalesce(body, F.lit("")))), judged)
-
-
-def is_agreement(body: Column) -> Column:
-    """Whether a short reply agrees; an empty or all-punctuation one does."""
-    return _classified(body, AGREEMENT_PHRASES, AGREEMENT_EXACT, AGREEMENT_OPENERS, True)
-
-
-def is_thanks(body: Column) -> Column:
-    return _classified(body, THANKS_PHRASES, THANKS_EXACT, THANKS_OPENERS, False)
+def with_reply_flags(df: DataFrame, body: str = "body") -> DataFrame:
+    """Add ``agrees`` and ``thanks``; each step is a projection of its own, so nothing is worked out twice."""
+    d = df.withColumn("_t", F.lower(ustrip(F.coalesce(F.col(body), F.lit(""))))).withColumn("_clean", without_punctuation(F.col("_t"))).withColumn("_w", tokens(F.col("_clean")))
+    own = (F.col("_t"), F.col("_clean"), F.size("_w"), F.get("_w", F.lit(0)))
+    d = d.withColumn("agrees", _judged(*own, AGREEMENT_PHRASES, AGREEMENT_EXACT, AGREEMENT_OPENERS, True)).withColumn("thanks", _judged(*own, THANKS_PHRASES, THANKS_EXACT, THANKS_OPENERS, False))
+    return d.drop("_t", "_clean", "_w")
 
 
 def parent_type(c: str = "parent_id") -> Column:
@@ -95,14 +87,14 @@ def exclusion_histogram(df: DataFrame, reason: Column) -> DataFrame:
 def social_signals(comments: DataFrame) -> DataFrame:
     """(parent_id, agreement_count, thanks_count) over kept comments that fail the length gate."""
     short = comments.where(exclusion_reason().isNull() & (word_count(F.col("body")) < MIN_WORDS) & F.col("parent_id").isNotNull() & (F.col("parent_id") != ""))
-    g = short.groupBy("parent_id").agg(F.sum(is_agreement(F.col("body")).cast("long")).alias("agreement_count"), F.sum(is_thanks(F.col("body")).cast("long")).alias("thanks_count"))
+    g = with_reply_flags(short.select("parent_id", "body")).groupBy("parent_id").agg(F.count_if("agrees").alias("agreement_count"), F.count_if("thanks").alias("thanks_count"))
     return g.where("agreement_count > 0 or thanks_count > 0")
 
 
 def gate_metrics(comments: DataFrame) -> DataFrame:
     """One row of counts over all comments, without content exclusion."""
     wc, s = word_count(F.col("body")), F.coalesce("score", F.lit(0)) >= 0
-    d = comments.select(wc.alias("wc"), s.alias("ok"), is_agreement(F.col("body")).alias("a"), is_thanks(F.col("body")).alias("t"))
+    d = with_reply_flags(comments.select(wc.alias("wc"), s.alias("ok"), "body")).select("wc", "ok", F.col("agrees").alias("a"), F.col("thanks").alias("t"))
     failed = F.col("wc") < MIN_WORDS
     return d.agg(
         F.count("*").alias("n"), F.count_if("ok").alias("pass_score"), F.count_if(~failed).alias("pass_length"), F.count_if(F.col("ok") & ~failed).alias("pass_both"),
@@ -112,7 +104,8 @@ def gate_metrics(comments: DataFrame) -> DataFrame:
 
 def short_buckets(comments: DataFrame) -> DataFrame:
     """(bucket, parent_kind, n, agreement, thanks) of the comments that fail the length gate."""
-    d = comments.select(word_count(F.col("body")).alias("wc"), parent_type().alias("parent_kind"), is_agreement(F.col("body")).alias("a"), is_thanks(F.col("body")).alias("t")).where(F.col("wc") < MIN_WORDS)
+    short = comments.select(word_count(F.col("body")).alias("wc"), parent_type().alias("parent_kind"), "body").where(F.col("wc") < MIN_WORDS)
+    d = with_reply_flags(short).select("wc", "parent_kind", F.col("agrees").alias("a"), F.col("thanks").alias("t"))
     return d.groupBy(length_bucket(F.col("wc")).alias("bucket"), "parent_kind").agg(F.count("*").alias("n"), F.count_if("a").alias("agreement"), F.count_if("t").alias("thanks"))
 
 

@@ -34,7 +34,7 @@ def f2_post_exclusion(s, d):
 
 
 def f5_f6_reply_classes(s, d):
-    return _c(s, d).select(G.is_agreement(F.col("body")).alias("agrees"), G.is_thanks(F.col("body")).alias("thanks"), G.parent_type().alias("parent_kind")).groupBy("agrees", "thanks", "parent_kind").agg(F.count("*").alias("n"))
+    return G.with_reply_flags(_c(s, d).select("body", G.parent_type().alias("parent_kind"))).groupBy("agrees", "thanks", "parent_kind").agg(F.count("*").alias("n"))
 
 
 def a1_social_signals(s, d):

@@ -20,6 +20,10 @@ def json_report(schema: str, **parts: DataFrame) -> DataFrame:
     return out.select(F.concat(F.lit(f'{{"schema":"{schema}",'), body, F.lit("}")).alias("report"))
 
 
+# fixed values: the headings, marks and fences of the two Markdown reports below
+EMPTY, NO_BREAK = "_(_empty_)_", "``\u200b`"
+
+
 def escape_cell(c: Column) -> Column:
     return F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|"))
 
@@ -49,7 +53,7 @@ def candidate_manifest(queries: DataFrame, found: DataFrame) -> DataFrame:
 def fenced(c: Column) -> Column:
     """A text that can stand in a code fence; a stated mark for an empty one."""
     t = F.regexp_replace(F.coalesce(c, F.lit("")), "\r\n?", "\n")
-    return F.when(t == "", "_(_empty_)_").otherwise(F.replace(t, F.lit("```"), F.lit("``​`")))
+    return F.when(t == "", EMPTY).otherwise(F.replace(t, F.lit("```"), F.lit(NO_BREAK)))
 
 
 def full_text_report(queries: DataFrame, found: DataFrame, chunks: DataFrame) -> DataFrame:
