@@ -13,8 +13,12 @@ from threadloom.runtime import spread, table
 
 
 def _c(s, d):
-    # the word and reply rules cost far more than moving the rows
-    return spread(table(s, d, "comments"))
+    return table(s, d, "comments")
+
+
+def _wide(s, d):
+    """Comments over all cores: the reply rules and chunking cost far more than moving the rows."""
+    return spread(_c(s, d))
 
 
 def _p(s, d):
@@ -34,24 +38,24 @@ def f2_post_exclusion(s, d):
 
 
 def f5_f6_reply_classes(s, d):
-    return G.with_reply_flags(_c(s, d).select("body", G.parent_type().alias("parent_kind"))).groupBy("agrees", "thanks", "parent_kind").agg(F.count("*").alias("n"))
+    return G.with_reply_flags(_wide(s, d).select("body", G.parent_type().alias("parent_kind"))).groupBy("agrees", "thanks", "parent_kind").agg(F.count("*").alias("n"))
 
 
 def a1_social_signals(s, d):
-    return G.social_signals(_c(s, d))
+    return G.social_signals(_wide(s, d))
 
 
 def a11_signal_parents(s, d):
-    g = G.social_signals(_c(s, d))
+    g = G.social_signals(_wide(s, d))
     return g.agg(F.count_if(F.col("agreement_count") >= 1).alias("agreed"), F.count_if(F.col("agreement_count") >= 2).alias("agreed_twice"), F.count_if(F.col("thanks_count") >= 1).alias("thanked"), F.count_if(F.col("thanks_count") >= 2).alias("thanked_twice"))
 
 
 def a2_gate_metrics(s, d):
-    return G.gate_metrics(_c(s, d))
+    return G.gate_metrics(_wide(s, d))
 
 
 def a3_short_buckets(s, d):
-    return G.short_buckets(_c(s, d))
+    return G.short_buckets(_wide(s, d))
 
 
 def a4_word_quantiles(s, d):
@@ -88,19 +92,19 @@ def w8_samples(s, d):
 
 
 def x2_comment_chunks(s, d):
-    return C.comment_chunks(_c(s, d), _p(s, d)).select("chunk_id", F.md5("text").alias("text_md5"), "post_title", "comment_score", "agreement_count", "thanks_count", "link_id", "chunk_index", "total_chunks", "word_count")
+    return C.comment_chunks(_wide(s, d), _p(s, d)).select("chunk_id", F.md5("text").alias("text_md5"), "post_title", "comment_score", "agreement_count", "thanks_count", "link_id", "chunk_index", "total_chunks", "word_count")
 
 
 def x3_post_chunks(s, d):
-    return C.post_chunks(_p(s, d), _c(s, d)).select("chunk_id", F.md5("text").alias("text_md5"), "post_title", "post_score", "num_comments", "agreement_count", "thanks_count", "chunk_index", "total_chunks", "word_count")
+    return C.post_chunks(_p(s, d), _wide(s, d)).select("chunk_id", F.md5("text").alias("text_md5"), "post_title", "post_score", "num_comments", "agreement_count", "thanks_count", "chunk_index", "total_chunks", "word_count")
 
 
 def a9_chunk_stats(s, d):
-    return C.chunk_stats(C.comment_chunks(_c(s, d), _p(s, d)))
+    return C.chunk_stats(C.comment_chunks(_wide(s, d), _p(s, d)))
 
 
 def j5_parent_sentences(s, d):
-    return C.parent_sentences(_c(s, d))
+    return C.parent_sentences(_wide(s, d))
 
 
 def a10_depth_histogram(s, d):

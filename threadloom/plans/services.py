@@ -261,7 +261,7 @@ def r24_presentation(s, d):
 
 
 def k10_gate_report(s, d):
-    c = I._c(s, d)
+    c = I._wide(s, d)
     return T.json_report("gate_report_v1", metrics=G.gate_metrics(c), buckets=G.short_buckets(c))
 
 
