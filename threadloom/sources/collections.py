@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -23,6 +24,18 @@ def create_collection(spark: SparkSession, path: str, *, schema: str = COLLECTIO
     return True
 
 
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write a table beside the one at ``path``, which it may read, and then put it in its place."""
+    spark = df.sparkSession
+    new = f"{path}.{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    old, made = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, new))
+    system = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(old, True)
+    if not system.rename(made, old):
+        raise OSError(f"{new} could not be renamed to {path}")
+
+
 def select_sources(chunks: DataFrame, *, comments: bool = True, posts: bool = True, limit: int | None = None) -> DataFrame:
     """Chunks of the kinds that are switched on; ``limit`` (for smoke runs) keeps that many, by id."""
     kinds = [k for k, on in (("comment", comments), ("post", posts)) if on]
@@ -61,7 +74,7 @@ def ingest(objects: DataFrame, path: str, provider: Callable[[list], object] = h
     if path_exists(spark, path):
         old = spark.read.parquet(path)
         new = old.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new, allowMissingColumns=True)
-    stored(new).write.mode("overwrite").parquet(path)
+    replace_table(new, path)
     return done.where("error is not null").select("chunk_id", "error")
 
 
