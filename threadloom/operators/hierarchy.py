@@ -11,7 +11,7 @@ soon as its ancestor is resolved: the rounds are the logarithm of the depth.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from threadloom.runtime import shuffle_partitions, stored
@@ -63,12 +63,13 @@ def resolve_hierarchy(nodes: DataFrame, *, prefix: str = "t1_", levels: int = 24
         every = parts[0] if out is not None else parts[0].withColumn("level", F.lit(0))
         for part in parts[1:]:
             every = every.unionByName(part)
-        reached = stored(every.coalesce(tasks))
+        seen = Observation()  # counted as the table is written, without a job
+        reached = stored(every.coalesce(tasks).observe(seen, F.count_if(F.col("level") == batch).alias("n")))
         out = reached.drop("level") if out is None else out.unionByName(reached.drop("level"))
         frontier = reached.where(f"level = {batch}").drop("level")
         done += batch
         open_ = stored(open_.join(reached.select("id"), "id", "left_anti").coalesce(tasks))
-        moving = not frontier.isEmpty()
+        moving = seen.get["n"] > 0
         if done >= levels or not moving:
             break
     out = out.withColumn("node_depth", F.col("node_depth").cast("int"))
@@ -76,13 +77,10 @@ def resolve_hierarchy(nodes: DataFrame, *, prefix: str = "t1_", levels: int = 24
         return out.unionByName(open_.select("id", F.lit(CYCLE).alias("root_id"), F.lit(-1).alias("node_depth"), none.alias("path")))
     # the level after the frontier closes the open nodes' chains; nothing above it is needed again
     last = step(open_, frontier)
-    state = stored(open_.join(last, "id", "left").coalesce(tasks))
+    state, left = _with_open(open_.join(last, "id", "left").coalesce(tasks))
     before = -1
-    while True:
-        # a round closes every pair whose ancestor is closed; if it closed none, the open nodes only lead to each other
-        left = state.where("root_id is null").count()
-        if left in (0, before):
-            break
+    # a round closes every pair whose ancestor is closed; if it closed none, the open nodes only lead to each other
+    while left not in (0, before):
         before = left
         upper = state.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), F.col("seg").alias("seg2"), F.col("root_id").alias("root2"), F.col("node_depth").alias("depth2"), F.col("path").alias("path2"))
         moved = state.where("root_id is null").drop("root_id", "node_depth", "path").join(upper, "anc")
@@ -90,15 +88,22 @@ def resolve_hierarchy(nodes: DataFrame, *, prefix: str = "t1_", levels: int = 24
         # a node that comes again above itself is on a cycle: closed, and its segment dropped
         again = ~hit & ((F.col("anc2") == F.col("id")) | F.coalesce(F.array_contains("seg2", F.col("id")), F.lit(False)))
         moved = moved.select(
-            "id", F.when(hit, F.col("anc")).otherwise(F.col("anc2")).alias("anc"), F.when(hit, F.col("dist")).otherwise(F.col("dist") + F.col("dist2")).alias("dist"), F.when(hit | again, F.when(hit & (F.col("root2") != CYCLE), F.col("seg"))).otherwise(F.concat("seg2", "seg")).alias("seg"),
+            "id", F.when(hit, F.col("anc")).otherwise(F.col("anc2")).alias("anc"), F.when(hit, F.col("dist")).otherwise(F.col("dist") + F.col("dist2")).alias("dist"), F.when(~hit & ~again, F.concat("seg2", "seg")).alias("seg"),
             F.when(again, CYCLE).otherwise(F.col("root2")).alias("root_id"), F.when(again | (F.col("root2") == CYCLE), -1).otherwise(F.col("depth2") + F.col("dist")).alias("node_depth"), F.concat("path2", "seg").alias("path"),
         )
-        state = stored(state.where("root_id is not null").select(*moved.columns).unionByName(moved).coalesce(tasks))
+        state, left = _with_open(state.where("root_id is not null").select(*moved.columns).unionByName(moved).coalesce(tasks))
     cyclic = F.col("root_id").isNull() | (F.col("node_depth") < 0)
     deep = state.select("id", F.when(cyclic, CYCLE).otherwise(F.col("root_id")).alias("root_id"), F.when(cyclic, -1).otherwise(F.col("node_depth")).cast("int").alias("node_depth"), F.when(~cyclic, F.col("path")).alias("path"))
     return out.unionByName(deep)
 
 
+def _with_open(state: DataFrame) -> tuple[DataFrame, int]:
+    """A state as a table, and how many of its nodes are open."""
+    seen = Observation()
+    table = stored(state.observe(seen, F.count_if(F.col("root_id").isNull()).alias("n")))
+    return table, seen.get["n"]
+
+
 def ancestor_pairs(resolved: DataFrame) -> DataFrame:
     """(ancestor_id, id, distance) of every node below another one, from the paths.
 
