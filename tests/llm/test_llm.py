@@ -347,6 +347,7 @@ CASES = [
     ("Code 99623-26 was on the bill, 1,272.00 total", set()), ("The lab sits at 3106 Windmere St, Eastwick Hollow.", {"address"}), ("at 54b old mill close on Fridays", {"address"}), ("55 rue des Tilleuls Gris", {"address"}),
     ("the long road to recovery, 544 steps a day", set()), ("my name is grace caldridger and i am tired", {"name"}), ("Ask for Mirela Ashgrove, physio.", {"name"}), ("they had me down as OLDCOMBE, WILL on the form", {"name"}),
     ("ginger tea will help in may", set()), ("Dr Google is not helping", set()), ("OUR NEIGHBOUR DROVE ME", set()), ("a TENS unit, 57 weeks", set()),
+    ("send it to Am Lindenhang 7b, 01234 Kleinstadt, please", {"address"}), ("in March 12, 2024 Monday", set()), ("Took 20, 5000 IU", set()),
 ]
 
 
@@ -356,7 +357,7 @@ HELD_OUT = [
     ("my account number is 12345678", {"account"}), ("sort code 20-00-00, she said", {"account"}), ("on my account I have 3 posts", set()), ("a" * 90 + "@mail.example wrote", {"email"}), ("mailto:jo@mail.example", {"email"}),
     ("see https://x.example/?q=2125550194 there", set()), ("tel:+12125550194", {"phone"}), ("phone me on 07700900749", {"phone"}), ("it was 07700900749 steps", set()), ("order 212-555-0194 arrived", set()),
     ("Prof. Y. Harrow saw me", {"name"}), ("Dr. J. R. Ewing saw me", {"name"}), ("listed as KOWALCZYK, ANNA there", {"name"}), ("the nurse was kind", set()), ("Mr Bean said so", {"name"}),
-    ("Flat 3, 12 Foo Street", {"address"}), ("I live at 9 Elm Mews.", {"address"}), ("Goethestraße 12, im Hof", {"address"}), ("send it to Am Lindenhang 7b, 01234 Kleinstadt, please", {"address"}), ("in March 12, 2024 Monday", set()), ("Took 20, 5000 IU", set()), ("12 weeks down the road", set()), ("3 of us ran up the hill", set()), ("passport no. 533380006", {"id_number"}), ("SSN: 078-05-1120", {"id_number"}), ("ISBN 978-3-16-148410-0", set()),
+    ("Flat 3, 12 Foo Street", {"address"}), ("I live at 9 Elm Mews.", {"address"}), ("Goethestraße 12, im Hof", {"address"}), ("12 weeks down the road", set()), ("3 of us ran up the hill", set()), ("passport no. 533380006", {"id_number"}), ("SSN: 078-05-1120", {"id_number"}), ("ISBN 978-3-16-148410-0", set()),
 ]
 
 
