@@ -1,10 +1,14 @@
 """Training-data operators against brute force, exact round trips and hand-made cases."""
 
+import os
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +83,55 @@ def test_large_nodes_are_cut_into_blocks(spark, monkeypatch):
     assert got == want and len(want) > 1000
 
 
+def test_a_shard_takes_little_beside_its_entries():
+    """A node of 3,000 sets has 4.5 million pairs; a block is read into about its own size."""
+    n, rnd = 3000, np.random.default_rng(3)
+    rid = rnd.integers(-(2**63), 2**63 - 1, n)
+    blobs = [near_duplicates._pack(rid[i : i + 100], np.full(100, 50, np.int32), np.zeros(100, np.uint32), np.arange(100, dtype=np.uint16), np.zeros(100, np.uint16)) for i in range(0, n, 100)]
+    tracemalloc.start()
+    seen = np.zeros((n, n), bool)
+    at = {int(x): i for i, x in enumerate(rid.view(np.uint64).astype(np.uint32))}
+    for _, blob in near_duplicates.shard_pairs(blobs, 0.5, 3):
+        a, k, b = near_duplicates._unpack(blob, np.uint32, np.uint32, np.uint32)
+        x, y = ([at[v] for v in ids.tolist()] for ids in (np.repeat(a, k), b))
+        seen[x, y] = seen[y, x] = True
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen.sum() == n * (n - 1) and peak < 120e6
+
+
+def test_a_block_is_read_into_about_its_own_size(tmp_path):
+    n, rnd = 100_000, np.random.default_rng(4)
+    rid, maps = rnd.integers(-(2**63), 2**63 - 1, n), rnd.integers(0, 2**63, (n, 16)).astype(np.uint64)
+    rid[5000:5010] = rid[:10]
+    maps[5000:5010] = maps[:10]
+    (tmp_path / "block=0").mkdir()
+    blobs = [near_duplicates._pack(rid[i : i + 500], np.arange(i, i + 500, dtype=np.int32) % 5000, maps[i : i + 500].ravel()) for i in range(0, n, 500)]
+    pq.write_table(pa.table({"blob": pa.array(blobs, pa.binary())}), tmp_path / "block=0" / "part.parquet")
+    tracemalloc.start()
+    got = near_duplicates.read_block(str(tmp_path), 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.7 * maps.nbytes
+    low, ids, size, row, bits, held = got
+    at = {x: i for i, x in reversed(list(enumerate(rid.tolist())))}
+    where = [at[x] for x in ids.tolist()]
+    assert len(ids) == n - 10 and (np.diff(low.astype(np.int64)) >= 0).all() and (low == ids.view(np.uint64).astype(np.uint32)).all()
+    assert (held[row] == maps[where]).all() and (size == np.array(where) % 5000).all() and (bits == np.bitwise_count(maps[where]).sum(axis=1)).all()
+
+
+def test_sketches_are_written_and_not_cached(spark, monkeypatch):
+    """Cached sketches took the executors' heap on large tables; written ones go once the pairs are known."""
+    rows = keyed(spark, near_texts(random.Random(2)))
+    written = []
+    monkeypatch.setattr(type(rows), "persist", lambda *_: pytest.fail("cached"))
+    write = near_duplicates._write_blobs
+    monkeypatch.setattr(near_duplicates, "_write_blobs", lambda writer, at: (written.append(at), write(writer, at)))
+    links, _ = near_duplicates.similar_texts(rows.select(F.lit("t").alias("space"), "text"), n=3, threshold=0.5)
+    there = [os.path.exists(x.removeprefix("file:")) for x in written]
+    assert links.count() > 10 and there == [False, True]
+
+
 def test_copies_meet_no_copies(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "PACK", 16)
     base = " ".join(f"w{i}" for i in range(60))
